@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, langid, packing, secrets, urls, warc
+from . import decontaminate, huffman, langid, minhash, packing, secrets, urls, warc
 from .common import Scratch
 
 
@@ -36,16 +36,25 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(scratch)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "item_shingles")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op4_token_archive, op5_warc, op8_url_filters, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op4_token_archive, op5_warc, op6_minhash, op8_url_filters, op9_decontamination, op10_secret_scans)}
 
 
 OP5 = """
@@ -59,5 +68,17 @@ FROM w
 """
 
 
+OP9 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+b AS (SELECT item_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM b WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM bs GROUP BY r)
+SELECT ds.doc_id, bs.item_id, count(*) AS shared, n.n AS item_shingles
+FROM ds JOIN bs ON ds.s = bs.s JOIN n ON n.r = bs.r
+GROUP BY ds.doc_id, ds.r, bs.item_id, bs.r, n.n HAVING 10 * count(*) >= 8 * n.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5}
+    return {"op5_warc": OP5, "op9_decontamination": OP9}
