@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, langid, minhash, packing, secrets, urls, warc
+from . import decontaminate, hnsw, huffman, langid, minhash, packing, secrets, urls, warc
 from .common import Scratch
 
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op4_token_archive, op5_warc, op6_minhash, op8_url_filters, op9_decontamination, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_best_fit_packing, op4_token_archive, op5_warc, op6_minhash, op8_url_filters, op9_decontamination, op10_secret_scans)}
 
 
 OP5 = """
@@ -68,6 +72,16 @@ FROM w
 """
 
 
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.k, 0) AS n_links, c.component_id, c.id = c.component_id AS kept FROM c LEFT JOIN n ON n.a = c.id
+"""
+
 OP9 = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 b AS (SELECT item_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
@@ -81,4 +95,4 @@ GROUP BY ds.doc_id, ds.r, bs.item_id, bs.r, n.n HAVING 10 * count(*) >= 8 * n.n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5, "op9_decontamination": OP9}
+    return {"op2_embedding_dedup": OP2, "op5_warc": OP5, "op9_decontamination": OP9}
