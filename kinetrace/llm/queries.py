@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hnsw, huffman, langid, minhash, packing, secrets, urls, warc
+from . import decontaminate, hnsw, huffman, langid, minhash, packing, secrets, suffixes, urls, warc
 from .common import Scratch
 
 
@@ -44,6 +44,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_best_fit_packing, op4_token_archive, op5_warc, op6_minhash, op8_url_filters, op9_decontamination, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_best_fit_packing, op4_token_archive, op5_warc, op6_minhash, op7_suffix_array_dedup, op8_url_filters, op9_decontamination, op10_secret_scans)}
 
 
 OP5 = """
