@@ -38,7 +38,7 @@ def padded(chunked: DataFrame, episode: str, length: int) -> DataFrame:
 def stacked(chunked: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """A row per chunk, each column an array in step order. A chunk's length bounds the arrays."""
     rows = chunked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), *columns))).alias("rows"))
-    return rows.select(*keys, F.size("rows").alias("length"), *[F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+    return rows.select(*keys, F.size("rows").alias("length"), *[F.col(f"rows.{c}").alias(c) for c in columns])
 
 
 def shuffled_batches(samples: DataFrame, id_cols: list[str], size: int, train: bool = True, seed: int = 0) -> DataFrame:

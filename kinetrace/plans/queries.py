@@ -428,3 +428,299 @@ def joint_path(spark: SparkSession, d: str) -> DataFrame:
     moves = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("start"), F.slice("embedding", 4, 3).alias("goal"))
     out = kinematics.joint_path(moves, ["vec_id"], 1.0, 20.0)
     return out.select("vec_id", rounded("t").alias("t"), *[rounded(F.get("q", F.lit(i))).alias(f"q{i + 1}") for i in range(3)])
+
+
+# ---- episodes
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
+
+
+PLACED = "p AS (SELECT conv_id, turn, role, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), "
+PLACED += "c AS (SELECT *, CAST(place // 4 AS INTEGER) AS chunk, CAST(place % 4 AS INTEGER) AS step_in_chunk FROM p WHERE n < 4 OR place < (n // 4) * 4)"
+
+
+@query(f"WITH {PLACED} SELECT conv_id, turn, chunk, step_in_chunk FROM c")
+def episode_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return episodes.chunks(turns(spark, d), "conv_id", "turn", 4).select("conv_id", "turn", "chunk", F.col("step_in_chunk").cast("int").alias("step_in_chunk"))
+
+
+FILLED = f"{PLACED}, f AS (SELECT conv_id, turn, chunk, step_in_chunk, false AS padded, size FROM c UNION ALL SELECT conv_id, turn, chunk, CAST(r.k AS INTEGER), true, size FROM c, range(4) AS r(k) WHERE n < 4 AND place = n - 1 AND r.k > place)"
+
+
+@query(f"WITH {FILLED} SELECT conv_id, turn, chunk, step_in_chunk, padded FROM f")
+def episode_pad(spark: SparkSession, d: str) -> DataFrame:
+    out = episodes.padded(episodes.chunks(turns(spark, d), "conv_id", "turn", 4), "conv_id", 4)
+    return out.select("conv_id", "turn", "chunk", "step_in_chunk", "padded")
+
+
+@query(f"WITH {FILLED} SELECT conv_id, chunk, CAST(count(*) AS INTEGER) AS length, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY step_in_chunk) AS turns, string_agg(CAST(size AS VARCHAR), ',' ORDER BY step_in_chunk) AS sizes FROM f GROUP BY conv_id, chunk")
+def episode_stack(spark: SparkSession, d: str) -> DataFrame:
+    out = episodes.padded(episodes.chunks(turns(spark, d), "conv_id", "turn", 4), "conv_id", 4)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return episodes.stacked(out, ["conv_id", "chunk"], "step_in_chunk", ["turn", "size"]).select("conv_id", "chunk", "length", text("turn").alias("turns"), text("size").alias("sizes"))
+
+
+@query("WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) SELECT vec_id, CAST(k // 32 AS BIGINT) AS batch, CAST(k % 32 AS BIGINT) AS place FROM p")
+def collate_batches(spark: SparkSession, d: str) -> DataFrame:
+    return episodes.shuffled_batches(table(spark, d, "embeddings").select("vec_id"), ["vec_id"], 32, train=False)
+
+
+@query()
+def collate_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    return episodes.shuffled_batches(table(spark, d, "embeddings").select("vec_id"), ["vec_id"], 32, seed=7)
+
+
+RAGGED = """WITH s AS (SELECT conv_id, count(*) AS n, sum(length(text)) AS total, string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+m AS (SELECT *, max(n) OVER (PARTITION BY conv_id // 8) AS m FROM s)
+SELECT conv_id, CAST(n AS INTEGER) AS length, CAST(total AS BIGINT) AS total, text || repeat(',0', CAST(m - n AS INTEGER)) AS sizes FROM m"""
+
+
+@query(RAGGED)
+def ragged_pad(spark: SparkSession, d: str) -> DataFrame:
+    rows = episodes.stacked(turns(spark, d), ["conv_id"], "turn", ["size"]).drop("length").withColumn("batch", F.expr("conv_id div 8"))
+    out = episodes.ragged_pad(rows, ["batch"], "size")
+    return out.select("conv_id", "length", F.aggregate("size", F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"), F.array_join(F.col("size").cast("array<string>"), ",").alias("sizes"))
+
+
+MULTIRATE = f"WITH {EV}, {sql_grid(step=DAY, n=30)}, {sql_between('a', sql_stream('view'))}, {sql_between('b', sql_stream('click'))}, {sql_between('c', sql_stream('purchase'))}"
+MULTIRATE += " SELECT a.user_id, a.t, a.value AS vision, b.value AS actions, c.value AS proprio, a.value AS f0, c.value AS f1 FROM a JOIN b ON a.user_id = b.user_id AND a.t = b.t JOIN c ON a.user_id = c.user_id AND a.t = c.t"
+
+
+@query(MULTIRATE)
+def multirate_episode(spark: SparkSession, d: str) -> DataFrame:
+    names = {"view": "vision", "click": "actions", "purchase": "proprio"}
+    samples = events(spark, d).where(F.col("event_type").isin(*names)).replace(names, subset=["event_type"]).withColumnRenamed("event_type", "stream")
+    out = episodes.multirate(samples, grid(spark, d, step=DAY, n=30), "user_id")
+    return out.select("user_id", "t", "vision", "actions", "proprio", F.get("fused", F.lit(0)).alias("f0"), F.get("fused", F.lit(1)).alias("f1"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS episode_id, CAST(turn AS INTEGER) AS step_idx, 0e0 AS reward, turn > 2 AS is_terminal, CASE WHEN role = 'user' THEN role ELSE '' END AS language_instruction, length(text) / 255e0 AS rgb, CAST(turn AS DOUBLE) AS proprio FROM conversations")
+def parse_steps(spark: SparkSession, d: str) -> DataFrame:
+    raw = turns(spark, d).select(
+        F.col("conv_id").alias("episode_id"),
+        F.col("turn").alias("step_idx"),
+        F.lit(None).cast("double").alias("reward"),
+        (F.col("turn") > 2).alias("is_terminal"),
+        F.when(F.col("role") == "user", F.col("role")).alias("language_instruction"),
+        F.create_map(F.lit("rgb"), F.array(F.col("size").cast("double")), F.lit("state"), F.array(F.col("turn").cast("double"))).alias("observation"),
+    )
+    out = episodes.parsed_steps(raw)
+    return out.select("episode_id", "step_idx", "reward", "is_terminal", "language_instruction", F.get(F.col("observation")["rgb"], F.lit(0)).alias("rgb"), F.get(F.col("observation")["proprio"], F.lit(0)).alias("proprio"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS episode_id, coalesce(arg_min(role, turn) FILTER (WHERE turn > 1), '') AS language_instruction FROM conversations GROUP BY conv_id")
+def episode_language(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d)
+    own = t.select(F.col("conv_id").cast("string").alias("episode_id")).distinct().withColumn("language_instruction", F.lit(None).cast("string"))
+    steps = t.select(F.col("conv_id").cast("string").alias("episode_id"), F.col("turn").alias("step_idx"), F.when(F.col("turn") > 1, F.col("role")).alias("language_instruction"))
+    return episodes.with_language(own, steps)
+
+
+@query()
+def image_resize(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("pixels"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    out = episodes.resized(images, "pixels", "h", "w", (4, 4))
+    return out.select("vec_id", "h", "w", F.size("pixels").alias("n"), rounded(F.get("pixels", F.lit(5)), 6).alias("p5"))
+
+
+# ---- attention
+
+CODE = ", ".join(f"{sql_round(f'embedding[{i + 1}] + {('sin' if i % 2 == 0 else 'cos')}(label * exp(-(ln(1e4) / 8e0) * {i - i % 2}))', 6)} AS p{i}" for i in range(4))
+
+
+@query(f"SELECT vec_id, {CODE} FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings) AS e")
+def positional_encoding(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("values"))
+    out = attention.positional_encoding(rows, "label", "values", 8)
+    return out.select("vec_id", *[rounded(F.get("values", F.lit(i)), 6).alias(f"p{i}") for i in range(4)])
+
+
+@query("SELECT label, " + ", ".join(f"{sql_round(f'avg(CAST(embedding[{i + 1}] AS DOUBLE))')} AS m{i}" for i in range(4)) + " FROM embeddings GROUP BY label")
+def temporal_pool(spark: SparkSession, d: str) -> DataFrame:
+    out = attention.temporal_pool(table(spark, d, "embeddings"), ["label"], "embedding", 4)
+    return out.select("label", *[rounded(F.get("pooled", F.lit(i))).alias(f"m{i}") for i in range(4)])
+
+
+@query()
+def attention_fusion(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 50").alias("sequence"), (F.col("vec_id") % 50).alias("place"), F.slice("embedding", 1, 16).alias("vision"), F.slice("embedding", 17, 8).alias("lidar"), F.slice("embedding", 25, 4).alias("proprio"))
+    model = attention.Fusion.seeded({"vision": 16, "lidar": 8, "proprio": 4}, d_model=32, layers=2, heads=4, forward=64)
+    out = attention.temporal_fusion(rows, model, "sequence", "place")
+    return out.select("sequence", "place", F.size("features").alias("n"), rounded(F.get("features", F.lit(0)), 6).alias("f0"))
+
+
+# ---- augmentation
+
+
+@query()
+def augment_proprio(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("values"))
+    return augment.proprio(rows, "vec_id", seed=3).select("vec_id", rounded(F.get("values", F.lit(0))).alias("v0"), F.size("values").alias("n"))
+
+
+@query()
+def augment_lidar(spark: SparkSession, d: str) -> DataFrame:
+    return augment.lidar(dims(spark, d), ["vec_id"], seed=3).select("vec_id", "x", "y", "z")
+
+
+@query()
+def augment_vision(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("pixels"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return augment.vision(images, "vec_id", seed=3, batch="label", height="h", width="w").select("vec_id", F.size("pixels").alias("n"), rounded(F.get("pixels", F.lit(0))).alias("p0"))
+
+
+# ---- measures
+
+COMPARED = f"WITH {EV}, {sql_grid()}, {sql_between('a', 'ev')}, {sql_between('b', 'ev', linear=True)}, p AS (SELECT a.user_id, a.t, a.value AS x, b.value AS y FROM a JOIN b ON a.user_id = b.user_id AND a.t = b.t WHERE a.value IS NOT NULL AND b.value IS NOT NULL), o AS (SELECT *, abs(x - y) AS gap, abs(x - y) > 1e-5 AND abs(x - y) > 1e-4 * abs(y) AS off FROM p)"
+
+
+def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(align.resample(events(spark, d), grid(spark, d), ["user_id"], extrapolate=x) for x in ("clamp", "linear"))
+
+
+@query(f"{COMPARED} SELECT count(*) AS n, {sql_round('max(gap)', 6)} AS max_error, {sql_round('avg(gap)', 6)} AS mean_error, {sql_round('sqrt(avg(gap * gap))', 6)} AS rms_error, count_if(off)::BIGINT AS mismatches, {sql_round('count_if(off) / count(*)')} AS mismatch_rate FROM o")
+def accuracy_metrics(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.accuracy(*_two(spark, d), ["user_id", "t"])
+    return out.withColumns({c: rounded(c, 6) for c in ("max_error", "mean_error", "rms_error")}).withColumn("mismatch_rate", rounded("mismatch_rate"))
+
+
+@query(f"{COMPARED} SELECT user_id, t, {sql_round('x', 6)} AS got, {sql_round('y', 6)} AS want FROM o WHERE off")
+def tolerance_compare(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.tolerance_compare(*_two(spark, d), ["user_id", "t"]).withColumns({c: rounded(c, 6) for c in ("got", "want")})
+
+
+TIMES = "t AS (SELECT event_type AS operation, value AS d, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), "
+TIMES += "q AS (SELECT operation, max(d) FILTER (WHERE k = CAST(floor(n * 5e-1) AS BIGINT)) AS p50, max(d) FILTER (WHERE k = least(n - 1, CAST(floor(n * 99e-2) AS BIGINT))) AS p99, avg(d) AS mean, stddev_samp(d) AS std, max(n) AS n FROM t GROUP BY operation)"
+
+
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"), "user_id")
+
+
+@query(f"SELECT event_type AS operation, count(*) AS n, min(value) AS min, max(value) AS max, {sql_round('avg(value)', 6)} AS mean, {sql_round('sum(value)', 4)} AS total FROM events GROUP BY event_type")
+def latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.latency_stats(durations(spark, d)).withColumns({"mean": rounded("mean", 6), "total": rounded("total", 4)})
+
+
+@query(f"WITH {TIMES} SELECT operation, p50, p99, n, {sql_round('mean', 6)} AS mean, {sql_round('std', 6)} AS std, {sql_round('std / mean * 100', 6)} AS cv_percent, {sql_round('196e-2 * std / sqrt(n)', 6)} AS ci95 FROM q")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.latency_percentiles(durations(spark, d)).withColumns({c: rounded(c, 6) for c in ("mean", "std", "cv_percent", "ci95")})
+
+
+@query(f"WITH {TIMES}, b AS (SELECT min(p50) AS base_p50, min(p99) AS base_p99 FROM q) SELECT q.operation, q.p50, q.p99, q.p50 <= b.base_p50 * 105e-2 AND q.p99 <= b.base_p99 * 11e-1 AS passed FROM q, b")
+def perf_gate(spark: SparkSession, d: str) -> DataFrame:
+    found = metrics.latency_percentiles(durations(spark, d))
+    best = found.agg(F.min("p50").alias("p50"), F.min("p99").alias("p99"))
+    baseline = found.select("operation").crossJoin(F.broadcast(best))  # one row
+    return metrics.perf_gate(found, baseline).select("operation", "p50", "p99", "passed")
+
+
+@query(f"SELECT count(*) AS n, {sql_round('avg(CASE WHEN o_orderstatus = $$F$$ THEN 1e0 ELSE 0e0 END)')} AS success_rate, {sql_round('avg(CASE WHEN o_orderstatus = $$F$$ THEN 1e5 / greatest(o_totalprice, 1e5) ELSE 0e0 END)')} AS spl FROM orders")
+def spl(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("success"), F.lit(1e5).alias("shortest"), F.col("o_totalprice").alias("path"))
+    return metrics.spl(runs).withColumns({c: rounded(c) for c in ("success_rate", "spl")})
+
+
+@query(f"WITH s AS (SELECT event_type AS operation, avg(value) AS m, max(value) AS x FROM events GROUP BY event_type) SELECT operation, {sql_round('x', 6)} AS a, {sql_round('m', 6)} AS b, {sql_round('x / m', 6)} AS speedup, {sql_round('(x - m) / 36e5 * 2', 9)} AS cost_saved FROM s")
+def ab_compare(spark: SparkSession, d: str) -> DataFrame:
+    s = metrics.latency_stats(durations(spark, d))
+    out = metrics.ab_compare(s.withColumn("v", F.col("max")), s.withColumn("v", F.col("mean")), ["operation"], "v", 2.0)
+    return out.withColumns({c: rounded(c, 6) for c in ("a", "b", "speedup")}).withColumn("cost_saved", rounded("cost_saved"))
+
+
+@query("WITH s AS (SELECT event_type AS operation, count(*) AS n, max(value) AS max FROM events GROUP BY event_type) SELECT operation, max <= 1e2 AS ok_max, n >= 2000 AS ok_n, max <= 1e2 AND n >= 2000 AS accepted FROM s")
+def acceptance(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.acceptance(metrics.latency_stats(durations(spark, d)), {"max": ("max", 100.0), "n": ("min", 2000)})
+    return out.select("operation", "ok_max", "ok_n", "accepted")
+
+
+@query("SELECT user_id AS iteration, max(value) AS duration_ms FROM events GROUP BY user_id")
+def slowest_rank(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.slowest_rank(durations(spark, d).withColumnRenamed("user_id", "iteration"))
+
+
+# ---- sizes and splits
+
+
+@query("SELECT 32 AS per_chunk, 4 AS chunks, 4 AS last")
+def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
+    p = planning.chunk_plan(100, 10, 400, 0.8)
+    return spark.createDataFrame([tuple(p.values())], "per_chunk int, chunks int, last int")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_custkey, CAST(c_custkey // CAST(ceil(n / 4e0) AS BIGINT) AS INTEGER) AS part FROM customer, n")
+def split_batch(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("i"))
+    return planning.split_batch(c, "i", c.count(), 4).select("c_custkey", "part")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer), b AS (SELECT r, (r * n) // 3 AS lo, ((r + 1) * n) // 3 AS hi FROM n, range(3) AS s(r)) SELECT c_custkey, CAST(r AS INTEGER) AS rank FROM customer JOIN b ON c_custkey >= lo AND c_custkey < hi")
+def rank_slices(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("i"))
+    return planning.rank_slices(c, "i", c.count(), 3).select("c_custkey", "rank")
+
+
+@query(sql_voxels("1 AS occupied"))
+def merge_grids(spark: SparkSession, d: str) -> DataFrame:
+    flags = [r[0] for r in table(spark, d, "lineitem").select("l_returnflag").distinct().orderBy("l_returnflag").limit(100).collect()]
+    parts = [voxel.voxelize(lines(spark, d).where(F.col("l_returnflag") == f), "occupancy", **OF_LINES) for f in flags]
+    return planning.merge_grids(parts, voxel.VOXEL)
+
+
+# ---- streams
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    raw = replay.source(spark, d, "events", table(spark, d, "events").schema)
+    return raw.select("event_id", "user_id", F.col("event_type").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query("SELECT user_id, event_type AS stream, epoch_us(max(ts)) AS t, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type")
+def streaming_hold_last(spark: SparkSession, d: str) -> DataFrame:
+    out = replay.run(streaming.hold_last(event_stream(spark, d), ["user_id", "stream"], "ts", ["value"]), "complete")
+    return out.select("user_id", "stream", F.unix_micros("ts").alias("t"), "value")
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS start, event_type AS stream, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
+def streaming_latest(spark: SparkSession, d: str) -> DataFrame:
+    out = replay.run(streaming.latest_per_window(event_stream(spark, d), ["stream"], "ts", ["value"], "1 day", "3650 days"), "complete")
+    return out.select(F.unix_micros("start").alias("start"), "stream", "value")
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS start, event_type AS stream, CAST(floor((value - 0e0) / 5e1) AS INTEGER) AS vx, CAST(user_id % 4 AS INTEGER) AS vy, 0 AS vz, count(*) AS n FROM events WHERE floor(value / 5e1) >= 0 AND floor(value / 5e1) < 4 GROUP BY ALL")
+def streaming_voxel(spark: SparkSession, d: str) -> DataFrame:
+    points = event_stream(spark, d).select("stream", "ts", F.col("value").alias("x"), (F.col("user_id") % 4 * 50).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    out = replay.run(streaming.voxelize(points, "stream", "ts", "3650 days", "1 day", grid_min=0.0, voxel_size=50.0, grid_size=4), "complete")
+    return out.select(F.unix_micros("start").alias("start"), "stream", "vx", "vy", "vz", "n")
+
+
+LIVE = f"""WITH {EV}, b AS (SELECT user_id, event_type, min(t) AS lo, max(t) AS hi FROM ev WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id, event_type),
+u AS (SELECT user_id, CAST(ceil(min(lo) / {6 * HOUR}e0) AS BIGINT) * {6 * HOUR} AS lo, min(hi) AS hi FROM b GROUP BY user_id HAVING count(*) = 3),
+g AS (SELECT user_id, unnest(range(lo, hi + 1, {6 * HOUR})) AS t FROM u), """ + ", ".join(sql_between(n, sql_stream(k)) for n, k in (("a", "view"), ("b2", "click"), ("c", "purchase")))
+LIVE += f' SELECT a.user_id, a.t, {sql_round("a.value")} AS "view", {sql_round("b2.value")} AS click, {sql_round("c.value")} AS purchase FROM a JOIN b2 ON a.user_id = b2.user_id AND a.t = b2.t JOIN c ON a.user_id = c.user_id AND a.t = c.t'
+
+
+@query(LIVE)
+def streaming_fuse(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_stream(spark, d).where(F.col("stream").isin(*STREAMS))
+    out = replay.run(streaming.fuse(rows, "user_id", "ts", STREAMS, 6 * HOUR, "3650 days", capacity={k: 1_000_000 for k in STREAMS}))
+    return out.select("user_id", "t", *[rounded(k).alias(k) for k in STREAMS])
+
+
+@query()
+def streaming_fuse_hold(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_stream(spark, d).where(F.col("stream").isin(*STREAMS))
+    return replay.run(streaming.fuse(rows, "user_id", "ts", STREAMS, 6 * HOUR, "3650 days", least={"view": 2, "click": 2}, hold=True))
+
+
+SEEN = """WITH k AS (SELECT user_id, ts AS tick, event_id FROM events WHERE event_type = 'purchase')
+SELECT k.user_id, epoch_us(k.tick) AS tick, arg_max(e.value, e.ts) AS value FROM k JOIN events AS e ON e.user_id = k.user_id AND e.event_type = 'view' AND e.ts <= k.tick - INTERVAL 1 HOUR AND e.ts >= k.tick - INTERVAL 1 HOUR - INTERVAL 2 DAY GROUP BY k.user_id, k.tick"""
+
+
+@query(SEEN)
+def streaming_latency(spark: SparkSession, d: str) -> DataFrame:
+    e = event_stream(spark, d)
+    joined = streaming.observe_late(e.where("stream = 'view'"), e.where("stream = 'purchase'"), "user_id", "1 hour", "2 days", "1 hour")
+    return replay.run(joined).groupBy("user_id", F.unix_micros("tick_ts").alias("tick")).agg(F.max_by("value", "sample_ts").alias("value"))

@@ -100,8 +100,11 @@ def fuse(samples: DataFrame, key: str, time: str, streams: tuple[str, ...], step
 
 
 def observe_late(samples: DataFrame, ticks: DataFrame, key: str, latency: str, within: str, late: str) -> DataFrame:
-    """Each tick with the newest sample that is at least ``latency`` and at most ``latency`` plus ``within`` old; a stream-stream interval join."""
+    """Each tick with the samples that are at least ``latency`` and at most ``latency`` plus ``within`` old, by a stream-stream interval join.
+
+    Columns: key, tick_ts, sample_ts, value. The newest is what an observer sees; take it by max_by over the result.
+    """
     s = samples.select(F.col(key).alias("_key"), F.col("ts").alias("sample_ts"), "value").withWatermark("sample_ts", late)
     t = ticks.select(key, F.col("ts").alias("tick_ts")).withWatermark("tick_ts", late)
     seen = F.expr(f"{key} = _key and sample_ts <= tick_ts - interval {latency} and sample_ts >= tick_ts - interval {latency} - interval {within}")
-    return t.join(s, seen).groupBy(key, "tick_ts").agg(F.max_by("value", "sample_ts").alias("value"))
+    return t.join(s, seen).select(key, "tick_ts", "sample_ts", "value")
