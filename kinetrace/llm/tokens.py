@@ -12,15 +12,17 @@ import os
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-# The pre-tokeniser pattern for which the word-wise way is right, and the same over the characters of SAFE.
+# The pre-tokeniser pattern for which the word-wise way is right, and the same over the characters of SAFE in lower case.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+WORDS = re.compile(r"[a-zß-öø-ž]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
 SAFE = re.compile("[\t\n\r\x20-\x7eÀ-įı-ž]*")
 #: Distinct words that a worker remembers before it starts anew; bounds memory, not results.
-REMEMBER = 300_000
+REMEMBER = 500_000
+JOIN = 512
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -43,7 +45,7 @@ class _Words(dict):
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -51,27 +53,45 @@ class Encoder:
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == PATTERN and splits[0].get("behavior") == "Removed" and spec.get("post_processor") is None
+        # Ids that end a word, by which the ids of many words encoded at once are told apart.
+        suffix, vocab = spec["model"].get("end_of_word_suffix"), self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.by_word &= bool(suffix)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.library.get_vocab_size()
+        # The same model for words that are already normalised and split.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Starts anew, but for the words that came up three times or more."""
+        often = [w for w, n in zip(self.words, self.uses.tolist(), strict=False) if n > 2] if self.words else []
         self.words = _Words()
+        self.uses = np.zeros(1 << 14, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        if len(often) < REMEMBER // 2:
+            for w in often:
+                self.words[w]  # noqa: B018
+            self.learn()
 
     def learn(self) -> None:
         """Encodes the words that came up for the first time."""
         if not (new := self.words.new):
             return
-        got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast([" ".join(new[i : i + JOIN]) for i in range(0, len(new), JOIN)], add_special_tokens=False)), np.uint32)
+        counts = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        if len(counts) != len(new) or counts.sum() != len(flat):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
         first, last = len(self.words) - len(new), len(self.words)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while last > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
         self.flat[self.used : self.used + len(flat)] = flat
         self.start[first:last] = self.used + np.cumsum(counts) - counts
         self.count[first:last] = counts
@@ -85,8 +105,9 @@ class Encoder:
         if len(self.words) > REMEMBER:
             self.forget()
         of = self.words.__getitem__
-        index = np.fromiter((of(w) for words in split for w in words), np.int64, sum(map(len, split)))
+        index = np.fromiter(map(of, chain.from_iterable(split)), np.int64)
         self.learn()
+        self.uses[: len(self.words)] += np.bincount(index, minlength=len(self.words))
         counts = self.count[index]
         ends = np.cumsum(counts)
         flat = self.flat[np.repeat(self.start[index] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
