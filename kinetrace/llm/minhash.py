@@ -3,13 +3,14 @@
 A document is the set of its distinct word shingles, as 64-bit hashes, and ``K`` minwise values of that set. Documents with equal
 sets form a class and take part once. Each of ``TREES`` independent trees branches classes by chosen minwise values: a node is a
 path of coordinates and values, and its members agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustively
-by their minwise values; larger ones are compared with one member, branch by two further coordinates, and end once all members are
-known to be of one component. A pair at threshold t shares a first node in some tree with probability 1 - (1 - t)^TREES.
+by their minwise values. Larger ones are compared with two of their members; what is similar to one of these joins it, the others
+branch on. A pair at threshold t shares a first node in some tree with probability 1 - (1 - t)^TREES.
 
-Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates. They are
-confirmed on full sets: first a spanning forest of each node's candidates, then, once components are known, every candidate pair
-whose ends lie in different components. So links that could join components are all confirmed or refuted, but pairs within a
-component aren't expanded. What stays large and mixed at the last level is compared in blocks.
+Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates, of which
+a spanning forest per node is kept; their components are families. No link leaves a family. A family of at most ``LEAF`` members
+is one task's work, which holds candidates' full sets against each other and names its components. In larger families blocks of
+members are held against blocks, on sets of 32-bit hashes; of what passes each pair of blocks gives a spanning forest, which is
+confirmed on full sets. So near misses and links, of which a large family has very many, aren't listed. Families beyond ``BLOCKS`` blocks are compared by the nodes of ``LARGE_TREES`` trees instead of as a whole.
 
 Nulls and texts without words have an empty set and link with nothing. Rows with a null doc_id link with nothing either; their
 component is null and they are kept. Repeated rows are of one class. Extra columns don't matter. An empty table gives an empty result.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, byte_slices, components, parts
 
-K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 6, 256
+K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 3, 256
+#: Blocks of a family that is compared as a whole; and the trees in which larger families, and nodes beyond LEAF, are looked at.
+BLOCKS, LARGE_TREES = 16, 5
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -131,8 +134,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
-    """(node, cls) one level down: in each tree one coordinate at the root, two below, chosen by a hash of the node."""
-    schema = "node bigint, cls bigint"
+    """(tree, node, cls) one level down, by one coordinate: at the root the tree's own, below it one chosen by a hash of the node."""
+    schema = "tree int, node bigint, cls bigint"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +144,17 @@ def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
             cls = batch.column("cls").to_numpy()
-            paths = [(np.full(len(cls), t, np.uint64), np.full(len(cls), t % K)) for t in range(trees)] if first else []
-            if not first:
+            if first:
+                paths = [(np.full(len(cls), t), np.full(len(cls), t, np.uint64), np.full(len(cls), t % K)) for t in range(trees)]
+            else:
                 node = batch.column("node").to_numpy().view(np.uint64)
-                paths = [(node + np.uint64(j), (mix(node + np.uint64(77 + j)) % np.uint64(K)).astype(np.int64)) for j in range(2)]
-            for path, at in paths:
+                paths = [(batch.column("tree").to_numpy(), node, (mix(node + np.uint64(77)) % np.uint64(K)).astype(np.int64))]
+            for tree, path, at in paths:
                 value = sig[np.arange(len(cls)), at].astype(np.uint64)
                 new = mix(mix(path + np.uint64(0xABCDEF)) ^ mix(value + (at.astype(np.uint64) << np.uint64(32))))
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(cls)], schema=shape)
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(new.view(np.int64)), pa.array(cls)], schema=shape)
 
-    return members.mapInArrow(run, schema).distinct() if not first else members.mapInArrow(run, schema)
+    return members.mapInArrow(run, schema)
 
 
 def agreement(threshold: float) -> int:
@@ -164,15 +168,10 @@ def similar(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, thresh
     return near & (np.minimum(na[:, None], nb[None]) >= threshold * np.maximum(na[:, None], nb[None]) - 1e-9)
 
 
-def leaf_edges(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray | None, threshold: float, least: int) -> list[tuple[int, int]]:
-    """Without labels a spanning forest of the candidate pairs, by stars; with labels every candidate pair across labels."""
-    near = similar(sig, n, sig, n, threshold, least)
-    np.fill_diagonal(near, False)
-    if label is not None:
-        a, b = np.nonzero(np.triu(near & (label[:, None] != label[None])))
-        return list(zip(cls[a].tolist(), cls[b].tolist(), strict=True))
-    out, free = [], np.ones(len(cls), bool)
-    for i in range(len(cls)):
+def forest(cls: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs in ``near``, by stars as far as possible."""
+    out, free = [], near.any(1)
+    for i in np.flatnonzero(free).tolist():
         if free[i]:
             free[i] = False
             todo = [i]
@@ -185,47 +184,127 @@ def leaf_edges(cls: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarra
     return out
 
 
-def compare_leaves(leaves: DataFrame, threshold: float, labelled: bool) -> DataFrame:
-    """``leaves``: (node, cls, n_shingles, sig[, label]), of nodes that fit a task. A partition's nodes come one after the other."""
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[i] and b[i]: one by one if they are few, else by a product of incidence matrices."""
+    if len(a) <= 20 * len(sets):
+        out = np.zeros(len(a), np.int64)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = sets[i], sets[j]
+            out[k] = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
+        return out
+    flat, size = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    values, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # hashes of one set alone are in no intersection
+    owner, place = np.repeat(np.arange(len(sets)), size), place.ravel()
+    kept = times[place] > 1
+    owner, column = owner[kept], number[place[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for lo in range(0, int(number[-1]) + 1 if len(values) else 0, width):
+        p, q = np.searchsorted(column, [lo, lo + width])
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[p:q], column[p:q] - lo] = 1
+        total += x @ x.T
+    return total[a, b].astype(np.int64)
+
+
+def runs(batches: Iterator[pa.RecordBatch], kind: type = np.uint32) -> Iterator[dict[str, np.ndarray]]:
+    """The members of one node after the other, from rows sorted by node."""
+    rest: pa.Table | None = None
+
+    def cut(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        node = table.column("node").to_numpy()
+        ends = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        sizes = np.diff(ends)
+        numbers = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sig", "hashes")}
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+        hashes = table.column("hashes").to_pylist() if "hashes" in table.column_names else None
+        for k in np.flatnonzero(sizes > 1).tolist():
+            a, b = int(ends[k]), int(ends[k + 1])
+            yield {c: v[a:b] for c, v in numbers.items()} | {"sig": sig[a:b]} | ({"sets": [np.frombuffer(h, kind) for h in hashes[a:b]]} if hashes else {})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        node = table.column("node").to_numpy()
+        whole = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+        if whole:
+            yield from cut(table.slice(0, whole))
+        rest = table.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield from cut(rest)
+
+
+def by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition(parts(rows.sparkSession), "node").sortWithinPartitions("node", "cls")
+
+
+def _pairs(found: list[tuple[int, int]] | np.ndarray, shape: pa.Schema) -> pa.RecordBatch:
+    ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=shape)
+
+
+def compare_leaves(leaves: DataFrame, threshold: float) -> DataFrame:
+    """Spanning forests (a, b) of the candidates in small nodes (node, cls, n_shingles, sig)."""
     schema = "a bigint, b bigint"
     shape, least = arrow(schema), agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def nodes(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            node = table.column("node").to_numpy()
-            cls, n = table.column("cls").to_numpy(), table.column("n_shingles").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, K)
-            label = table.column("label").to_numpy() if labelled else None
-            cut = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-            got: set[tuple[int, int]] = set()
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a > 1 and (label is None or (label[a:b] != label[a]).any()):
-                    got.update(leaf_edges(cls[a:b], n[a:b], sig[a:b], None if label is None else label[a:b], threshold, least))
-            pairs = np.sort(np.array(list(got), np.int64).reshape(-1, 2), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=shape)
+        got: set[tuple[int, int]] = set()
+        for x in runs(batches):
+            near = similar(x["sig"], x["n_shingles"], x["sig"], x["n_shingles"], threshold, least)
+            np.fill_diagonal(near, False)
+            got.update(forest(x["cls"], near))
+            if len(got) > 100_000:
+                yield _pairs(list(got), shape)
+                got.clear()
+        yield _pairs(list(got), shape)
+
+    return by_node(leaves).mapInArrow(run, schema).distinct()
+
+
+def unite(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Components of n members under pairs (a, b), by smallest member; and the pairs that joined two."""
+    root, used = np.arange(len(near)), []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = root[i], root[j]
+        if p != q:
+            root[root == max(p, q)] = min(p, q)
+            used.append(k)
+    return root, used
+
+
+def compare_sets(rows: DataFrame, percent: int, wide: bool, named: bool) -> DataFrame:
+    """Groups (node, cls, n_shingles, sig, hashes) that fit a task, by their members' sets, of 64-bit hashes (``wide``) or 32-bit ones.
+
+    ``named``: each member's component within the group (id, component). Else a spanning forest (a, b) of the pairs that pass.
+    """
+    schema = "id bigint, component bigint" if named else "a bigint, b bigint"
+    shape, threshold = arrow(schema), percent / 100
+    least = agreement(threshold)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            node = table.column("node").to_numpy()
-            whole = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
-            if whole:
-                yield from nodes(table.slice(0, whole))
-            rest = table.slice(whole)
-        if rest is not None and rest.num_rows:
-            yield from nodes(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in runs(batches, np.uint64 if wide else np.uint32):
+            cls, n = x["cls"], x["n_shingles"]
+            near = similar(x["sig"], n, x["sig"], n, threshold, least)
+            np.fill_diagonal(near, False)
+            a, b = np.nonzero(np.triu(near))
+            both = common(x["sets"], a, b) if len(a) else np.zeros(0, np.int64)
+            passes = 100 * both >= percent * (n[a] + n[b] - both)
+            a, b = a[passes], b[passes]
+            root, used = unite(near, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(cls[root])], schema=shape) if named else _pairs(np.column_stack([cls[a[used]], cls[b[used]]]), shape)
 
-    spark = leaves.sparkSession
-    return leaves.repartition(parts(spark), "node").sortWithinPartitions("node", "cls").mapInArrow(run, schema).distinct()
+    out = by_node(rows).mapInArrow(run, schema)
+    return out if named else out.distinct()
 
 
 def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b, na, nb, sa, sb) that may reach the threshold."""
-    schema = "a bigint, b bigint"
+    """Those of the rows (node, size, a, b, na, nb, sa, sb) that may reach the threshold."""
+    schema = "node bigint, size bigint, a bigint, b bigint"
     shape, least = arrow(schema), agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,22 +314,23 @@ def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = ((x == y).sum(1) >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
-            ends = np.sort(np.column_stack([batch.column("a").to_numpy()[ok], batch.column("b").to_numpy()[ok]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=shape)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("node", "size", "a", "b")], schema=shape)
 
-    return pairs.mapInArrow(run, schema).distinct()
+    return pairs.select("node", "size", "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, hashes) of the classes ``wanted`` (cls, doc_id), from the text of one of their documents each."""
-    schema = "cls bigint, hashes binary"
+    """(cls, hashes, narrow) of the classes ``wanted`` (cls, doc_id), from the text of one of their documents each."""
+    schema = "cls bigint, hashes binary, narrow binary"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in byte_slices(batches, most=2 << 20):
             sets, bounds = shingle_sets(data, offsets, width)
-            full = np.flatnonzero(np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, bounds)), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in full.tolist()], pa.binary())], schema=shape)
+            own = [sets[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(np.diff(bounds)).tolist()]
+            # The upper halves, in the same order: rising, with a repeat where two hashes share one.
+            narrow = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, bounds)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(narrow, pa.binary())], schema=shape)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     # A doc_id may have rows of other classes as well; the last join drops those.
@@ -261,9 +341,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union. Each hub meets its partners in blocks, so no hub's list is one task."""
     spark, schema = pairs.sparkSession, "a bigint, b bigint"
     shape = arrow(schema)
+    full = sets.select("cls", "hashes")
     blocks = pairs.join(pairs.groupBy("a").count(), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / BLOCK)).alias("block"))
-    hubs = blocks.select("a", "block").distinct().join(sets, F.col("a") == F.col("cls")).select("a", "block", F.lit(None).cast("bigint").alias("b"), "hashes")
-    others = blocks.join(sets, F.col("b") == F.col("cls")).select("a", "block", "b", "hashes")
+    hubs = blocks.select("a", "block").distinct().join(full, F.col("a") == F.col("cls")).select("a", "block", F.lit(None).cast("bigint").alias("b"), "hashes")
+    others = blocks.join(full, F.col("b") == F.col("cls")).select("a", "block", "b", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, np.uint64)
@@ -285,18 +366,62 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sized(scratch: Scratch, frontier: DataFrame, name: str) -> DataFrame:
-    """Members of nodes that have two or more, with the node's size and three of its members."""
+    """Members of nodes that have two or more, with the node's size and two of its members."""
     frontier = scratch.write(frontier, f"frontier-{name}")
-    pivots = [F.min("cls").alias("p0"), F.max("cls").alias("p1"), F.min_by("cls", F.xxhash64("cls", "node")).alias("p2")]
-    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *pivots).where("size > 1")
-    return scratch.write(frontier.join(sizes, "node"), f"nodes-{name}")
+    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("p0"), F.max("cls").alias("p1")).where("size > 1")
+    out = scratch.write(frontier.join(sizes, "node"), f"nodes-{name}")
+    scratch.drop(f"frontier-{name}")
+    return out
 
 
-def _labelled(members: DataFrame, facts: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with their facts and component, in nodes of more than one component."""
-    rows = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("label"))
-    several = rows.groupBy("node").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("node")
-    return rows.join(several, "node").join(facts, "cls").select("node", "cls", "n_shingles", "sig", "label")
+def _star(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float, name: str) -> DataFrame:
+    """Candidates (node, size, a, b) among a large node's two chosen members and all others."""
+    ends = large.select("node", "size", F.explode(F.array("p0", "p1")).alias("a"), F.col("cls").alias("b")).where("a <> b")
+    side = lambda c: facts.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    return scratch.write(compare_rows(ends.join(side("a"), "a").join(side("b"), "b"), threshold), f"star-{name}")
+
+
+def _cells(rows: DataFrame, leaf: int) -> DataFrame:
+    """Large groups (node, size, cls, more columns) as cells of two blocks each, so that all pairs of members meet in one."""
+    rows = rows.withColumn("n_blocks", F.ceil(F.col("size") / leaf).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return each.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).drop("n_blocks", "block", "other", "size")
+
+
+def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold: float, leaf: int, levels: int) -> DataFrame:
+    """Candidate pairs (a, b) that span every family."""
+    lead = lambda x: x.join(facts, "cls").select("node", "cls", "n_shingles", "sig")
+    pairs = compare_leaves(lead(nodes.where(F.col("size") <= leaf).select("node", "cls")), threshold)
+    level, large = 0, nodes.where((F.col("size") > leaf) & (F.col("tree") < LARGE_TREES))
+    while large.limit(1).count():
+        star = _star(scratch, large, facts, threshold, str(level))
+        pairs = pairs.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        joined = star.select("node", F.col("b").alias("cls")).distinct()
+        rest = large.where("cls <> p0 and cls <> p1").join(joined, ["node", "cls"], "left_anti").select("tree", "node", "size", "cls")
+        if level == levels:
+            pairs = pairs.unionByName(compare_leaves(lead(_cells(rest.select("node", "size", "cls"), leaf)), threshold))
+            break
+        level += 1
+        below = _sized(scratch, children(rest.join(facts, "cls").select("tree", "node", "cls", "sig"), TREES, first=False), str(level))
+        pairs = pairs.unionByName(compare_leaves(lead(below.where(F.col("size") <= leaf).select("node", "cls")), threshold))
+        large = below.where(F.col("size") > leaf)
+    return scratch.write(pairs.distinct(), "pairs")
+
+
+def _large_families(scratch: Scratch, facts: DataFrame, nodes: DataFrame, families: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Components (id, component) within families (node, size, cls) that exceed a task."""
+    most = leaf * BLOCKS
+    groups = _cells(families.where(F.col("size") <= most), leaf)
+    if (giant := families.where(F.col("size") > most)).limit(1).count():
+        met = nodes.where(F.col("tree") < LARGE_TREES).select("node", "size", "cls").join(giant.select("cls"), "cls")
+        groups = groups.unionByName(met.where(F.col("size") <= leaf).drop("size")).unionByName(_cells(met.where(F.col("size") > leaf), leaf))
+    of = lambda c: groups.join(facts, "cls").join(sets.select("cls", F.col(c).alias("hashes")), "cls").select("node", "cls", "n_shingles", "sig", "hashes")
+    pairs = scratch.write(compare_sets(of("narrow"), percent, wide=False, named=False), "large")
+    links = scratch.write(confirm(pairs, sets, percent), "confirmed")
+    if links.count() < pairs.count():  # 32-bit hashes met by chance; a pair that hid behind such a one would be lost
+        links = compare_sets(of("hashes"), percent, wide=True, named=False)
+    return components(scratch, links, "large-components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
@@ -306,59 +431,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     some = rows.where("cls is not null and doc_id is not null")
     classes = scratch.write(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig")), "classes")
     facts = classes.select("cls", "n_shingles", "sig")
-
-    # First round: a spanning forest of each small node's candidates, and three members of each large node against the others.
     nodes = _sized(scratch, children(facts, trees, first=True), "0")
-    small, large = (nodes.where(F.col("size") <= leaf).select("node", "cls"), nodes.where(F.col("size") > leaf))
-    leaves = scratch.write(small.join(facts, "cls").select("node", "cls", "n_shingles", "sig"), "leaves")
-    pairs = compare_leaves(leaves, threshold, labelled=False)
-    any_large = large.limit(1).count() > 0
-    if any_large:
-        ends = large.select(F.explode(F.array("p0", "p1", "p2")).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
-        side = lambda c: facts.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-        pairs = pairs.unionByName(compare_rows(ends.join(side("a"), "a").join(side("b"), "b"), threshold)).distinct()
-    pairs = scratch.write(pairs, "pairs-1")
-    wanted = lambda ids: classes.select("cls", "doc_id").join(ids, "cls", "left_semi")
-    of = lambda x: x.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = scratch.write(full_sets(docs, wanted(of(pairs)), width), "sets")
-    links = scratch.write(confirm(pairs, sets, percent), "links-1")
-    found = components(scratch, links, "components-1")
-
-    # Second round: candidates across components. A node's forest spans all its candidates, so the others needn't be asked again.
-    more = compare_leaves(_labelled(leaves.select("node", "cls").join(of(pairs), "cls", "left_semi"), facts, found), threshold, labelled=True)
-    level = 1
-    rest = scratch.write(_labelled(large.select("node", "cls"), facts, found), "mixed-0") if any_large else None
-    while rest is not None and rest.limit(1).count():
-        if level == levels:
-            more = more.unionByName(_blocks(rest, threshold, leaf))
-            break
-        below = _sized(scratch, children(rest, trees, first=False), str(level))
-        mixed = _labelled(below.select("node", "cls"), facts, found).join(below.select("node", "size").distinct(), "node")
-        mixed = scratch.write(mixed, f"mixed-{level}")
-        more = more.unionByName(compare_leaves(mixed.where(F.col("size") <= leaf).drop("size"), threshold, labelled=True))
-        rest, level = mixed.where(F.col("size") > leaf).drop("size"), level + 1
-    more = scratch.write(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-2")
-    if more.limit(1).count():
-        lacking = of(more).join(sets.select("cls"), "cls", "left_anti")
-        if any_large and lacking.limit(1).count():
-            sets = sets.unionByName(scratch.write(full_sets(docs, wanted(lacking), width), "sets-2"))
-        again = scratch.write(confirm(more, sets, percent), "links-2")
-        if again.limit(1).count():
-            found = components(scratch, links.unionByName(again), "components-2")
-
-    named = classes.select("cls", "doc_id").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
+    pairs = _candidates(scratch, facts, nodes, threshold, leaf, levels)
+    members = components(scratch, pairs, "families").select(F.col("id").alias("cls"), F.col("component").alias("node"))
+    members = scratch.write(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"), "members")
+    sets = scratch.write(full_sets(docs, classes.select("cls", "doc_id").join(members.select("cls"), "cls", "left_semi"), width), "sets")
+    small = members.where(F.col("size") <= leaf).select("node", "cls")
+    found = compare_sets(small.join(facts, "cls").join(sets.select("cls", "hashes"), "cls").select("node", "cls", "n_shingles", "sig", "hashes"), percent, wide=True, named=True)
+    if (large := members.where(F.col("size") > leaf)).limit(1).count():
+        found = found.unionByName(_large_families(scratch, facts, nodes, large, sets, percent, leaf))
+    found = found.withColumnRenamed("id", "cls")
+
+    named = classes.select("cls", "doc_id").join(found, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = scratch.write(named.join(lowest, "component").select("cls", "component_id"), "named")
     out = rows.drop("sig").join(named, "cls", "left")
     first = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", first.cast("bigint").alias("component_id"), F.coalesce(F.col("doc_id") == first, F.lit(True)).alias("kept"), F.col("cls").alias("class_id"))
-
-
-def _blocks(rows: DataFrame, threshold: float, leaf: int) -> DataFrame:
-    """Candidate pairs across components in nodes that stay large and mixed: blocks of members against blocks, a task each."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes, "node").withColumn("n_blocks", F.ceil(F.col("size") / (leaf / 2)).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    return compare_leaves(each.select(cell.alias("node"), "cls", "n_shingles", "sig", "label"), threshold, labelled=True)
