@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow, byte_slices
 
-WIDTH, SAMPLE, CLUSTERS, SLACK = 4096, 4000, 6, 0.8
+WIDTH, SAMPLE, CLUSTERS, SLACK = 4096, 4000, 6, 0.6
 UND = "und"
 
 
