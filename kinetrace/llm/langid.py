@@ -3,7 +3,8 @@
 A text's features are its byte bigrams and trigrams over whole, case-folded text with all but letters as blanks, hashed to
 ``WIDTH`` numbers, damped by a logarithm, weighted by inverse document frequency and normalised. The labelled sample of each
 language is clustered by spherical k-means; a text takes the language of the centroid with the largest cosine. It is rejected if
-that cosine is below what the sample showed at the text's length: for texts of 2^b to 2^(b+1) n-grams, ``SLACK`` times the smallest.
+that cosine is below ``MOST`` and far below what the sample showed at the text's length: for texts of 2^b to 2^(b+1) n-grams,
+``SLACK`` times the smallest.
 
 The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows, spread evenly over languages and picked by a hash
 of their id. Its size doesn't depend on the corpus. Prediction is a map over whole texts.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow, byte_slices
 
-WIDTH, SAMPLE, CLUSTERS, SLACK = 4096, 4000, 6, 0.6
+WIDTH, SAMPLE, CLUSTERS, SLACK, MOST = 4096, 4000, 6, 0.6, 0.3
 UND = "und"
 
 
@@ -122,7 +123,7 @@ def fit(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS) -> Mode
     limits, low = np.zeros(24), 0.0
     for j in range(24):  # longer texts come closer to centroids; a length without a sample takes the shorter one's limit
         low = max(low, SLACK * float(score[b == j].min())) if (b == j).sum() >= 20 else low
-        limits[j] = low
+        limits[j] = min(low, MOST)
     return Model(languages, idf, centroids.astype(np.float32), of, limits)
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import arrow
 
 LABELS, ROWS, LONGEST, ROUNDS = 20_000, 20_000, 12, 8
+#: Share of the most frequent label's hosts from which a label is a word by itself.
+COMMON = 0.2
 TOKEN = re.compile(r"[^\W_]+")
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -76,15 +78,20 @@ class Words:
 
 
 def fit_words(labels: dict[str, int], rounds: int = ROUNDS) -> Words:
-    """From host labels and the number of hosts that have them. Parts compete; each round counts the words of the best splits."""
+    """From host labels and the number of hosts that have them. Parts compete; each round counts the words of the best splits.
+
+    A part must occur in two labels or more, so that a name isn't its own evidence; a label that a good share of hosts has is a
+    word by itself. Labels count once each otherwise.
+    """
+    often = COMMON * max(labels.values(), default=0)
+    weight = {x: n if n >= max(often, 2) else 1 for x, n in labels.items()}
     seen: Counter[str] = Counter()
-    for x, n in labels.items():
-        for part in {x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}:
-            seen[part] += n
-    counts = {w: n for w, n in seen.items() if n >= 2}
+    for x in labels:
+        seen.update({x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)})
+    counts = {w: n for w, n in seen.items() if n >= 2} | {x: n for x, n in weight.items() if n > 1 and len(x) <= LONGEST}
     for _ in range(rounds):
         model, new = _costs(counts), Counter()
-        for x, n in labels.items():
+        for x, n in weight.items():
             for w in model.split(x):
                 new[w] += n
         new = Counter({w: n for w, n in new.items() if w in counts})
