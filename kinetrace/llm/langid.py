@@ -10,7 +10,7 @@ The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows,
 of their id. Its size doesn't depend on the corpus. Prediction is a map over whole texts.
 
 Null text, or text without a letter: ``und``, score 0, rejected. A text with letters always gets a learned language, however far
-it lies. Without any labelled row nothing can be learned and all are ``und``. Ties go to the language first in order. Repeated rows
+it lies. Without any labelled row nothing can be learned: all are ``und``, and only texts without letters are rejected. Ties go to the language first in order. Repeated rows
 are predicted alike. Extra columns don't matter.
 """
 
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
         for part, data, offsets in byte_slices(batches, most=1 << 20):
             n = part.num_rows
             letters = np.array([has_letter(t) for t in part.column("text").to_pylist()])
-            names, score, rejected = np.array([UND] * n, object), np.zeros(n), np.ones(n, bool)
+            names, score, rejected = np.array([UND] * n, object), np.zeros(n), ~letters
             if m:
                 at, s, r = m.predict(features(data, offsets))
                 names = np.where(letters, np.array(m.languages, object)[at], UND)
@@ -181,3 +181,18 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def kept(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns, whatever their names."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for part, data, offsets in byte_slices(batches, most=1 << 20):
+            keep = np.array([has_letter(t) for t in part.column("text").to_pylist()])
+            if m:
+                keep &= ~m.predict(features(data, offsets))[2]
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -26,6 +26,7 @@ def test_language(spark):
     assert {got[6]["lang_pred"], got[7]["lang_pred"]} <= {"en", "de"}
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert [got[i]["rejected"] for i in (0, 1, 2, 3)] == [False, False, True, True]
+    assert sorted(r["doc_id"] for r in langid.kept(docs, model).collect()) == [i for i in range(8) if not got[i]["rejected"]]
 
 
 def test_language_held_out_accuracy(spark):
