@@ -51,11 +51,13 @@ def write_archive(scratch: Scratch, pages: DataFrame, least: int = 1000) -> None
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     records = keyed.select("page_id", "url", "key").join(owners, "key").withColumn("kind", kind)
     records.select("page_id", "key", _header(F.col("kind")).alias("header")).write.option("compression", "zstd").parquet(scratch.path("headers"))
-    # The bytes themselves: from the row that owns them, found by (page_id, key) so that payloads aren't shuffled more than once.
+    # The bytes themselves: from the row that owns them, found by (page_id, key), so payloads are shuffled once and no group is large.
     whole = pages.select("page_id", body.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     own = owners.select(F.col("key").alias("own_key"), "owner")
     stored = whole.join(own, (F.col("key") == F.col("own_key")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-    stored.dropDuplicates(["key"]).select("key", "payload").write.option("compression", "zstd").parquet(scratch.path("payloads"))
+    if keyed.groupBy("page_id").count().where("count > 1").limit(1).count():
+        stored = stored.dropDuplicates(["key"])  # rows may share an owner's page_id and payload
+    stored.select("key", "payload").write.option("compression", "zstd").parquet(scratch.path("payloads"))
     for name in ("keyed", "owners"):
         scratch.drop(name)
 
