@@ -59,6 +59,14 @@ def test_minhash(spark, leaf, levels):
     assert got == brute_groups(rows, 3, 85)
 
 
+def test_minhash_families_beyond_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCKS", 1)
+    rows = near_copies(300, seed=9)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 3, 85, leaf=16).collect()}
+    assert got == brute_groups(rows, 3, 85)
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (1, "other words that are not alike at all")]
     got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
