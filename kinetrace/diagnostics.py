@@ -95,3 +95,20 @@ def health_check(spark: SparkSession, slow_ms: float = 5000) -> dict[str, str |
         return {"status": "critical", "error": str(e)[:200]}
     took = (time.perf_counter() - began) * 1000
     return {"status": "healthy" if ok and took < slow_ms else "degraded", "ms": took}
+
+
+def self_test(spark: SparkSession) -> dict[str, bool]:
+    """A few known results, for a new installation."""
+    from .operators import align, voxel
+
+    source = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.5, 2.0), (1, 1.0, 3.0)], "series_id int, t double, value double")
+    targets = spark.createDataFrame([(1, 0.25), (1, 0.75)], "series_id int, t double")
+    got = [r["value"] for r in align.resample(source, targets, ["series_id"]).orderBy("t").collect()]
+    points = spark.createDataFrame([(0.0, 0.0, 0.0), (0.01, 0.01, 0.01), (99.0, 0.0, 0.0)], "x double, y double, z double")
+    cells = [tuple(r) for r in voxel.voxelize(points, "count", voxel_size=0.5, grid_size=64).collect()]
+    try:
+        align.resample(source, targets, ["series_id"], strategy="invalid")
+        refused = False
+    except ValueError:
+        refused = True
+    return {"resample": got == [1.5, 2.5], "voxelize": cells == [(20, 20, 20, 2)], "errors": refused}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +80,39 @@ def fuse(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str], tim
     return found.select(*rest, *[v.alias(n) for n, v in values.items()])
 
 
-def resample(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp") -> DataFrame:
-    """One series at other times. Before the first and after the last sample the nearest holds, or with ``linear`` the last line goes on."""
-    return fuse({value: source}, targets, keys, time, value, tie, extrapolate)
+def resample(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp", strategy: str = "window") -> DataFrame:
+    """One series at other times. Before the first and after the last sample the nearest holds, or with ``linear`` the last line goes on.
+
+    ``strategy``: ``window`` (native), or ``arrow``, which brings a series and its targets to one NumPy call; the latter suits wide arrays,
+    and a series must fit a worker's memory.
+    """
+    if one_of(strategy, ("window", "arrow"), "strategy") == "window":
+        return fuse({value: source}, targets, keys, time, value, tie, extrapolate)
+    one_of(extrapolate, ("clamp",), "extrapolate with strategy arrow")
+    need(targets, [*keys, time], "targets")
+    need(source, [*keys, time, *([tie] if tie else [])], "source")
+    need_numeric(source, [value], "source")
+    wide = is_array(source, value)
+    out = targets.select(*targets.columns, F.lit(None).cast("array<double>" if wide else "double").alias(value))
+
+    def run(s: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.copy()
+        g[value] = None
+        if len(g) and len(s):
+            s = s.sort_values([time, *([tie] if tie else [])])
+            t, tau = s[time].to_numpy(), g[time].to_numpy()
+            x = np.stack([np.asarray(v, np.float64) for v in s[value]]) if wide else s[value].to_numpy(np.float64)[:, None]
+            right = np.searchsorted(t, tau, side="left")
+            left = np.clip(right - 1, 0, len(t) - 1)
+            right = np.clip(right, 0, len(t) - 1)
+            gap = (t[right] - t[left]).astype(np.float64)
+            w = np.where(gap > 0, (tau - t[left]) / np.where(gap > 0, gap, 1), 1.0)
+            got = x[left] + np.clip(w, 0, 1)[:, None] * (x[right] - x[left])
+            g[value] = list(got) if wide else got[:, 0]
+        return g
+
+    own = source.where(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*keys, time, *([tie] if tie else []), F.col(value).cast(out.schema[value].dataType))
+    return own.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(run, out.schema)
 
 
 align_stream = resample

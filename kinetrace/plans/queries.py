@@ -105,6 +105,11 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     return align.resample(events(spark, d), grid(spark, d), ["user_id"])
 
 
+@query(SQL["resample_linear"])
+def resample_arrow(spark: SparkSession, d: str) -> DataFrame:
+    return align.resample(events(spark, d), grid(spark, d), ["user_id"], strategy="arrow")
+
+
 @query(f"WITH {EV}, {sql_grid('user_id, event_type', DAY, 30)}, {sql_between('v', 'ev', ('user_id', 'event_type'))} SELECT user_id, event_type, t, value FROM v")
 def resample_by_type(spark: SparkSession, d: str) -> DataFrame:
     return align.resample(events(spark, d), grid(spark, d, ("user_id", "event_type"), DAY, 30), ["user_id", "event_type"])
@@ -696,6 +701,14 @@ def streaming_voxel(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_micros("start").alias("start"), "stream", "vx", "vy", "vz", "n")
 
 
+@query(TSDF.format(sql_round("arg_min(v, (abs(v), vec_id))")))
+def streaming_tsdf(spark: SparkSession, d: str) -> DataFrame:
+    raw = replay.source(spark, d, "embeddings", table(spark, d, "embeddings").schema)
+    points = raw.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias("xyz"[i]) for i in range(3)], F.lit(1.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"))
+    out = replay.run(voxel.tsdf(points, 0.15, -0.4, 0.1, 8, "label", "vec_id", ("nx", "ny", "nz")), "complete")
+    return out.withColumn("tsdf", rounded("tsdf"))
+
+
 LIVE = f"""WITH {EV}, b AS (SELECT user_id, event_type, min(t) AS lo, max(t) AS hi FROM ev WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id, event_type),
 u AS (SELECT user_id, CAST(ceil(min(lo) / {6 * HOUR}e0) AS BIGINT) * {6 * HOUR} AS lo, min(hi) AS hi FROM b GROUP BY user_id HAVING count(*) = 3),
 g AS (SELECT user_id, unnest(range(lo, hi + 1, {6 * HOUR})) AS t FROM u), """ + ", ".join(sql_between(n, sql_stream(k)) for n, k in (("a", "view"), ("b2", "click"), ("c", "purchase")))

@@ -81,3 +81,13 @@ def test_grids(spark):
     one = spark.createDataFrame([(1,)], "s int")
     assert [r["t"] for r in grids.grid_linspace(one, 0, 1, 5).collect()] == pytest.approx([0, 0.25, 0.5, 0.75, 1])
     assert [r["t"] for r in grids.grid_rate(one, 0, 3, 50).collect()] == pytest.approx([0, 0.02, 0.04])
+
+
+def test_strategies_agree_on_arrays(spark):
+    rng = np.random.default_rng(5)
+    source = spark.createDataFrame([(int(s), float(t), rng.normal(size=3).tolist()) for s in range(3) for t in np.sort(rng.random(12))], "series_id int, t double, value array<double>")
+    targets = spark.createDataFrame([(int(s), float(t)) for s in range(4) for t in rng.uniform(-0.2, 1.2, 9)], "series_id int, t double")
+    a, b = ({(r["series_id"], r["t"]): r["value"] for r in align.resample(source, targets, ["series_id"], strategy=k).collect()} for k in ("window", "arrow"))
+    assert a.keys() == b.keys()
+    for k, v in a.items():
+        assert (v is None and b[k] is None) or v == pytest.approx(b[k])

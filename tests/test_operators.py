@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.diagnostics import Config, Metrics, check_environment, health_check
+from kinetrace.diagnostics import Config, Metrics, check_environment, health_check, self_test
 from kinetrace.operators import attention, augment, episodes, kinematics, metrics, planning, voxel
 from kinetrace.sources import readers
 
@@ -136,6 +136,7 @@ def test_exports_and_health(spark, tmp_path):
     stats = metrics.latency_stats(m.frame(spark))
     assert any(r["value"].startswith('kinetrace_n{operation="step"} 1') for r in readers.prometheus(stats).collect())
     assert health_check(spark)["status"] in ("healthy", "degraded")
+    assert all(self_test(spark).values())
     assert "pyspark" in check_environment(spark)
     Config(tolerance=1e-3).save(str(tmp_path / "c.json"))
     assert Config.load(str(tmp_path / "c.json")).tolerance == 1e-3
