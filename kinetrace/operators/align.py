@@ -3,7 +3,8 @@
 Samples and targets are united, and two windows per series find, for every target and stream at once, the last sample before it
 and the first at or after it. So N streams cost one shuffle by series and two sorts. The value is the right sample where the
 left one is missing, the left where the right one is, else the line between them. Nulls among values are no samples. A series is
-one window partition: for series longer than a task, add a time bucket to ``keys`` and let buckets overlap by a bracket.
+one window partition; with ``bucket`` (a span of time) each span of a series is, which gets the samples next to it from outside. So
+a series that holds a third of all rows is spread over as many tasks as it has spans.
 """
 
 from __future__ import annotations
@@ -21,7 +22,23 @@ from ..schema import is_array, need, need_numeric, one_of
 UP = (Window.unboundedPreceding, 0)
 
 
-def brackets(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp") -> DataFrame:
+def _carried(samples: DataFrame, targets: DataFrame, keys: list[str], time: str, name: str) -> DataFrame:
+    """``samples`` and, for each bucket with targets, the last sample of buckets before it and the first of those after it.
+
+    Buckets are summed up first, so the windows over a whole series see a row per bucket, not its samples.
+    """
+    sample, order = F.struct(F.col(time).alias("t"), F.col(f"s_{name}").alias("s"), "_tie"), F.struct(time, "_tie")
+    ends = samples.groupBy(*keys, "_bucket").agg(F.min_by(sample, order).alias("first"), F.max_by(sample, order).alias("last")).withColumn("_spot", F.lit(False))
+    spots = targets.select(*keys, "_bucket").distinct().withColumn("_spot", F.lit(True))
+    both = ends.unionByName(spots, allowMissingColumns=True)
+    up = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc(), F.col("_spot").desc()).rowsBetween(*UP)
+    down = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc(), F.col("_spot").desc()).rowsBetween(*UP)
+    near = both.select(*keys, "_bucket", "_spot", F.last("last", ignorenulls=True).over(up).alias("before"), F.last("first", ignorenulls=True).over(down).alias("after"))
+    rows = near.where("_spot").select(*keys, "_bucket", F.explode(F.array("before", "after")).alias("x")).where("x is not null")
+    return samples.unionByName(rows.select(*keys, F.col("x.t").alias(time), F.col("x.s").alias(f"s_{name}"), F.col("x._tie").alias("_tie"), F.lit(False).alias("_target"), "_bucket"))
+
+
+def brackets(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp", bucket: float | None = None) -> DataFrame:
     """``targets`` with structs l_<stream> and r_<stream> (t, v): the samples around each target, or null."""
     one_of(extrapolate, ("clamp", "linear"), "extrapolate")
     need(targets, [*keys, time], "targets")
@@ -42,9 +59,16 @@ def brackets(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str],
         order = F.col(tie) if tie else F.lit(0)
         frames.append(s.select(*keys, F.col(time), packed.alias(f"s_{name}"), order.cast("bigint").alias("_tie"), F.lit(False).alias("_target")))
     frames.append(targets.select(*keys, time, F.struct(*extra).alias("_extra") if extra else F.lit(None).cast("int").alias("_extra"), F.lit(0).cast("bigint").alias("_tie"), F.lit(True).alias("_target")))
+    parts = keys
+    if bucket is not None:
+        if bucket <= 0 or extrapolate != "clamp":
+            raise ValueError(f"bucket: expected a positive span and extrapolate clamp, got {bucket} and {extrapolate!r}")
+        frames = [f.withColumn("_bucket", F.floor(F.col(time) / F.lit(bucket)).cast("bigint")) for f in frames]
+        frames = [*[_carried(f, frames[-1], keys, time, n) for n, f in zip(streams, frames[:-1], strict=True)], frames[-1]]
+        parts = [*keys, "_bucket"]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(time).asc(), F.col("_target").desc(), F.col("_tie").asc()).rowsBetween(*UP)
-    back = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("_target").asc(), F.col("_tie").desc()).rowsBetween(*UP)
+    ahead = Window.partitionBy(*parts).orderBy(F.col(time).asc(), F.col("_target").desc(), F.col("_tie").asc()).rowsBetween(*UP)
+    back = Window.partitionBy(*parts).orderBy(F.col(time).desc(), F.col("_target").asc(), F.col("_tie").desc()).rowsBetween(*UP)
     # All left sides in one select and all right sides in the next: one sort each.
     left = union.select("*", *[F.last(f"s_{n}", ignorenulls=True).over(ahead).alias(f"l_{n}") for n in streams])
     both = left.select("*", *[F.last(f"s_{n}", ignorenulls=True).over(back).alias(f"r_{n}") for n in streams])
@@ -64,14 +88,14 @@ def _value(left: Column, right: Column, t: Column, array: bool, extrapolate: str
     return F.when(left.isNull(), first).when(right.isNull(), last).otherwise(between)
 
 
-def fuse(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp", concat: bool = False) -> DataFrame:
+def fuse(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp", concat: bool = False, bucket: float | None = None) -> DataFrame:
     """Each stream at each target, one column per stream in the order given; with ``concat`` as one array ``fused`` instead.
 
     Every target stays. A stream without samples in a series gives null there (and so does its concatenation).
     """
     if not streams:
         raise ValueError("fuse: expected one stream or more, got none")
-    found = brackets(streams, targets, keys, time, value, tie, extrapolate)
+    found = brackets(streams, targets, keys, time, value, tie, extrapolate, bucket)
     arrays = {n: is_array(s, value) for n, s in streams.items()}
     values = {n: _value(F.col(f"l_{n}"), F.col(f"r_{n}"), F.col(time), arrays[n], extrapolate) for n in streams}
     rest = [c for c in found.columns if c not in {f"{side}_{n}" for n in streams for side in "lr"}]
@@ -80,14 +104,14 @@ def fuse(streams: dict[str, DataFrame], targets: DataFrame, keys: list[str], tim
     return found.select(*rest, *[v.alias(n) for n, v in values.items()])
 
 
-def resample(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp", strategy: str = "window") -> DataFrame:
+def resample(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "t", value: str = "value", tie: str | None = None, extrapolate: str = "clamp", strategy: str = "window", bucket: float | None = None) -> DataFrame:
     """One series at other times. Before the first and after the last sample the nearest holds, or with ``linear`` the last line goes on.
 
     ``strategy``: ``window`` (native), or ``arrow``, which brings a series and its targets to one NumPy call; the latter suits wide arrays,
     and a series must fit a worker's memory.
     """
     if one_of(strategy, ("window", "arrow"), "strategy") == "window":
-        return fuse({value: source}, targets, keys, time, value, tie, extrapolate)
+        return fuse({value: source}, targets, keys, time, value, tie, extrapolate, bucket=bucket)
     one_of(extrapolate, ("clamp",), "extrapolate with strategy arrow")
     need(targets, [*keys, time], "targets")
     need(source, [*keys, time, *([tie] if tie else [])], "source")

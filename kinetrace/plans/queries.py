@@ -105,6 +105,11 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     return align.resample(events(spark, d), grid(spark, d), ["user_id"])
 
 
+@query(SQL["resample_linear"])
+def resample_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    return align.resample(events(spark, d), grid(spark, d), ["user_id"], bucket=3 * DAY)
+
+
 @query(SQL["resample_linear"])
 def resample_arrow(spark: SparkSession, d: str) -> DataFrame:
     return align.resample(events(spark, d), grid(spark, d), ["user_id"], strategy="arrow")

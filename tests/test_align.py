@@ -91,3 +91,15 @@ def test_strategies_agree_on_arrays(spark):
     assert a.keys() == b.keys()
     for k, v in a.items():
         assert (v is None and b[k] is None) or v == pytest.approx(b[k])
+
+
+def test_buckets_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, float(t), float(rng.normal()), k) for s in range(2) for k, t in enumerate(np.repeat(rng.uniform(0, 40, 30), 2))]
+    source = spark.createDataFrame(rows, "series_id int, t double, value double, k int")
+    other = source.where("t < 5 or t > 30").drop("k").withColumn("k", F.lit(0)).dropDuplicates(["series_id", "t"])
+    targets = spark.createDataFrame([(s, float(t)) for s in range(3) for t in rng.uniform(-5, 50, 40)], "series_id int, t double")
+    whole, cut = ({tuple(r)[:2]: tuple(r)[2:] for r in align.fuse({"a": source, "b": other}, targets, ["series_id"], tie="k", bucket=b).collect()} for b in (None, 3.0))
+    assert whole == cut
+    with pytest.raises(ValueError, match="bucket"):
+        align.resample(source, targets, ["series_id"], bucket=0)
