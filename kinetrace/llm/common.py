@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Edges for each task that writes labels of components.
+LABELS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,13 +100,15 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch.write(both, f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), f"{name}-0")
+    # Labels are written by as many tasks as their number asks for, so that small graphs aren't dozens of tiny files each round.
+    width = max(1, -(-both.count() // LABELS))
+    labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).coalesce(width), f"{name}-0")
     for k in range(1, rounds + 1):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "id").select("id", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        low = scratch.write(low, f"{name}-low")
+        low = scratch.write(low.coalesce(width), f"{name}-low")
         jump = low.select(F.col("id").alias("low"), F.col("low").alias("next"))
-        new = scratch.write(low.join(jump, "low").select("id", F.col("next").alias("component"), (F.col("next") != F.col("was")).alias("changed")), f"{name}-{k}")
+        new = scratch.write(low.join(jump, "low").select("id", F.col("next").alias("component"), (F.col("next") != F.col("was")).alias("changed")).coalesce(width), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         labels = new.select("id", "component")
         if not new.where("changed").limit(1).count():
