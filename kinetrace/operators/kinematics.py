@@ -24,7 +24,7 @@ STEP = 1e-5
 def table_of(dh: DataFrame) -> Table:
     """A robot's table (joint, a, alpha, d, theta_offset), a row per joint, in joint order."""
     need(dh, ["joint", "a", "alpha", "d", "theta_offset"], "dh")
-    return [tuple(r)[1:] for r in dh.select("joint", "a", "alpha", "d", "theta_offset").orderBy("joint").limit(1000).collect()]
+    return [tuple(r)[1:] for r in dh.select("joint", "a", "alpha", "d", "theta_offset").orderBy("joint").collect()]  # a robot has a few joints
 
 
 def frames(q: np.ndarray, dh: Table) -> np.ndarray:
