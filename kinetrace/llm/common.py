@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Edges for each task that writes labels of components.
 LABELS = 250_000
 

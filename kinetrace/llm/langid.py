@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow, byte_slices
 
 WIDTH, SAMPLE, CLUSTERS, SLACK, MOST = 4096, 4000, 6, 0.6, 0.3
-UND = "und"
+UND, BLOCK, SLICE = "und", 128, 1 << 19
 
 
 def _folding() -> np.ndarray:
@@ -42,9 +42,16 @@ def _folding() -> np.ndarray:
 FOLD = _folding()
 
 
+def _counted(places: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(places, minlength=n).astype(np.int32)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of hashed n-grams, a row per text."""
+    """Counts of hashed n-grams, a row per text. Blocks of texts bound the memory beside the result."""
     n = len(offsets) - 1
+    if n > BLOCK:
+        cuts = range(0, n, BLOCK)
+        return np.concatenate([features(data[offsets[i] : offsets[min(n, i + BLOCK)]], offsets[i : i + BLOCK + 1] - offsets[i]) for i in cuts])
     x = FOLD[data]
     if len(x) > 1:  # capital letters of the Latin-1 block, as UTF-8
         big = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
@@ -60,14 +67,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     keep = np.ones(len(y), bool)  # runs of blanks count as one
     keep[1:] = (y[1:] != 32) | (y[:-1] != 32) | (row[1:] != row[:-1])
     y, row = y[keep], row[keep]
-    out = np.zeros(n * WIDTH, np.int64)
+    out = np.zeros(n * WIDTH, np.int32)
     two = (y[:-1] << 8) | y[1:]
     same = row[:-1] == row[1:]
     hashed = (two * np.uint32(0x9E3779B1)) >> np.uint32(22)
-    out += np.bincount((row[:-1].astype(np.int64) * WIDTH + hashed)[same], minlength=len(out))
+    out += _counted((row[:-1].astype(np.int64) * WIDTH + hashed)[same], len(out))
     if len(y) > 2:
         hashed = 1024 + (((two[:-1] << 8 | y[2:]) * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % (WIDTH - 1024)
-        out += np.bincount((row[:-2].astype(np.int64) * WIDTH + hashed)[row[:-2] == row[2:]], minlength=len(out))
+        out += _counted((row[:-2].astype(np.int64) * WIDTH + hashed)[row[:-2] == row[2:]], len(out))
     return out.reshape(n, WIDTH)
 
 
@@ -145,7 +152,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = shape
-        for part, data, offsets in byte_slices(batches, most=1 << 20):
+        for part, data, offsets in byte_slices(batches, most=SLICE):
             rows = features(data, offsets)
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([np.minimum(r[a], 65535).astype("<u2").tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], schema=to)
@@ -166,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, m = shape, shipped.value
-        for part, data, offsets in byte_slices(batches, most=1 << 20):
+        for part, data, offsets in byte_slices(batches, most=SLICE):
             n = part.num_rows
             letters = np.array([has_letter(t) for t in part.column("text").to_pylist()])
             names, score, rejected = np.array([UND] * n, object), np.zeros(n), ~letters
@@ -189,7 +196,7 @@ def kept(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for part, data, offsets in byte_slices(batches, most=1 << 20):
+        for part, data, offsets in byte_slices(batches, most=SLICE):
             keep = np.array([has_letter(t) for t in part.column("text").to_pylist()])
             if m:
                 keep &= ~m.predict(features(data, offsets))[2]

@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     n, size = len(offsets) - 1, len(data)
     if not size:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    up, down = powers(1 << max(21, (size - 1).bit_length()))
+    up, down = powers(1 << max(20, (size - 1).bit_length()))
     inside = ~SPACE[data]
     first = np.zeros(size + 1, bool)
     first[offsets[:-1]] = True
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in byte_slices(batches, most=2 << 20):
+        for part, data, offsets in byte_slices(batches, most=1 << 20):
             sets, bounds = shingle_sets(data, offsets, width)
             full = np.diff(bounds) > 0
             key, sig = np.zeros(len(full), np.int64), [None] * len(full)
@@ -325,7 +325,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in byte_slices(batches, most=2 << 20):
+        for _, data, offsets in byte_slices(batches, most=1 << 20):
             sets, bounds = shingle_sets(data, offsets, width)
             own = [sets[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(np.diff(bounds)).tolist()]
             # The upper halves, in the same order: rising, with a repeat where two hashes share one.

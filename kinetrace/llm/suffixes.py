@@ -39,13 +39,13 @@ BATCH = 50_000
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(1 << max(21, len(data).bit_length()))
+    up, _ = powers(1 << max(20, len(data).bit_length()))
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
 
 
 def span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of the bytes from a to b."""
-    _, down = powers(1 << max(21, len(sums).bit_length()))
+    _, down = powers(1 << max(20, len(sums).bit_length()))
     return mix((sums[b] - sums[a]) * down[a])
 
 
@@ -127,7 +127,7 @@ def _marks(docs: DataFrame, length: int) -> DataFrame:
     shape = arrow(ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in byte_slices(batches, most=2 << 20):
+        for part, data, offsets in byte_slices(batches, most=1 << 20):
             doc, at, first, last, gram, segment = anchors(data, offsets, length)
             row = part.column("row").to_numpy()[doc]
             base = offsets[doc]
