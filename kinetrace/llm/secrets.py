@@ -322,11 +322,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, found array<struct<kind:string,start:int,stop:int>>"
     shape = arrow(schema)
+    shipped = docs.sparkSession.sparkContext.broadcast(scanner())  # compiled once; its size is that of the rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = shape
         for part, data, offsets in byte_slices(batches, text_col):
-            spans = scanner().spans(data, offsets)
+            spans = shipped.value.spans(data, offsets)
             rows = [[{"kind": RULES[k].kind, "start": s, "stop": e} for s, e, k in spans.get(i, ())] for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(rows, to.field("found").type)], schema=to)
 
@@ -337,13 +338,14 @@ def secret_report(docs: DataFrame) -> DataFrame:
     """The digest columns of the query: counts and the base spans' SHA-256, and all spans."""
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
     shape = arrow(schema)
+    shipped = docs.sparkSession.sparkContext.broadcast(scanner())  # compiled once; its size is that of the rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, none = shape, hashlib.sha256(b"").hexdigest()
         for part, data, offsets in byte_slices(batches):
             n = part.num_rows
             counts, sha, text = np.zeros((BASE, n), np.int64), [none] * n, [""] * n
-            for i, spans in scanner().spans(data, offsets).items():
+            for i, spans in shipped.value.spans(data, offsets).items():
                 for _, _, k in spans:
                     if k < BASE:
                         counts[k, i] += 1
@@ -361,11 +363,12 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shape = arrow(schema)
+    shipped = docs.sparkSession.sparkContext.broadcast(scanner())  # compiled once; its size is that of the rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = shape
         for part, data, offsets in byte_slices(batches):
-            spans = scanner().spans(data, offsets)
+            spans = shipped.value.spans(data, offsets)
             text = part.column("text").to_pylist()
             chars = part.column("n_chars").to_pylist() if "n_chars" in columns else []
             for i, found in spans.items():
