@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles, as 64-bit hashes, and ``K`` minwise values of that set. Documents with equal
 sets form a class and take part once. Each of ``TREES`` independent trees branches classes by chosen minwise values: a node is a
 path of coordinates and values, and its members agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustively
-by their minwise values. Larger ones are compared with two of their members; what is similar to one of these joins it, the others
-branch on. A pair at threshold t shares a first node in some tree with probability 1 - (1 - t)^TREES.
+by their minwise values. Larger ones are compared with two of their members, and what is similar to one of these is labelled by it;
+all others but these two branch on. A label says of which family a class is known to be, so a node with one label is done. A pair at threshold t shares a first node in some tree with probability 1 - (1 - t)^TREES.
 
 Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates, of which
 a spanning forest per node is kept; their components are families. No link leaves a family. A family of at most ``LEAF`` members
@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, byte_slices, components, parts
@@ -134,8 +134,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
-    """(tree, node, cls) one level down, by one coordinate: at the root the tree's own, below it one chosen by a hash of the node."""
-    schema = "tree int, node bigint, cls bigint"
+    """(tree, node, cls, label) one level down, by one coordinate: at the root the tree's own, below it one chosen by a hash of the node."""
+    schema = "tree int, node bigint, cls bigint, label bigint"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +144,7 @@ def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
             cls = batch.column("cls").to_numpy()
+            label = pa.nulls(len(cls), pa.int64()) if first else batch.column("label")
             if first:
                 paths = [(np.full(len(cls), t), np.full(len(cls), t, np.uint64), np.full(len(cls), t % K)) for t in range(trees)]
             else:
@@ -152,7 +153,7 @@ def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
             for tree, path, at in paths:
                 value = sig[np.arange(len(cls)), at].astype(np.uint64)
                 new = mix(mix(path + np.uint64(0xABCDEF)) ^ mix(value + (at.astype(np.uint64) << np.uint64(32))))
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(new.view(np.int64)), pa.array(cls)], schema=shape)
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(new.view(np.int64)), pa.array(cls), label], schema=shape)
 
     return members.mapInArrow(run, schema)
 
@@ -303,8 +304,8 @@ def compare_sets(rows: DataFrame, percent: int, wide: bool, named: bool) -> Data
 
 
 def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the rows (node, size, a, b, na, nb, sa, sb) that may reach the threshold."""
-    schema = "node bigint, size bigint, a bigint, b bigint"
+    """Those of the rows (node, twin, a, b, na, nb, sa, sb) that may reach the threshold."""
+    schema = "node bigint, twin bigint, a bigint, b bigint"
     shape, least = arrow(schema), agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +315,9 @@ def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = ((x == y).sum(1) >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("node", "size", "a", "b")], schema=shape)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("node", "twin", "a", "b")], schema=shape)
 
-    return pairs.select("node", "size", "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
+    return pairs.select("node", "twin", "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -365,28 +366,54 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return hubs.unionByName(others).repartition(parts(spark), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
+def _mixed() -> Column:
+    """Whether a node's members aren't all known to be of one family."""
+    return (F.count("label") < F.count(F.lit(1))) | (F.min("label") < F.max("label"))
+
+
 def _sized(scratch: Scratch, frontier: DataFrame, name: str) -> DataFrame:
-    """Members of nodes that have two or more, with the node's size and two of its members."""
+    """Members of nodes that have two or more, not all of one label, with the node's size and two members, one without a label if there is one."""
     frontier = scratch.write(frontier, f"frontier-{name}")
-    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("p0"), F.max("cls").alias("p1")).where("size > 1")
-    out = scratch.write(frontier.join(sizes, "node"), f"nodes-{name}")
+    first = F.min(F.struct(F.col("label").isNotNull(), "cls"))["cls"]
+    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first.alias("p0"), F.max("cls").alias("p1"), _mixed().alias("mixed"))
+    out = scratch.write(frontier.join(sizes.where("size > 1 and mixed").drop("mixed"), "node"), f"nodes-{name}")
     scratch.drop(f"frontier-{name}")
     return out
 
 
 def _star(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float, name: str) -> DataFrame:
-    """Candidates (node, size, a, b) among a large node's two chosen members and all others."""
-    ends = large.select("node", "size", F.explode(F.array("p0", "p1")).alias("a"), F.col("cls").alias("b")).where("a <> b")
+    """Candidates (node, twin, a, b) among a large node's two chosen members a and all others; twin is the other one of the two."""
+    ends = large.select("node", F.explode(F.array(F.struct(F.col("p0").alias("a"), F.col("p1").alias("twin")), F.struct(F.col("p1").alias("a"), F.col("p0").alias("twin")))).alias("end"), F.col("cls").alias("b"))
+    ends = ends.select("node", "end.*", "b").where("a <> b")
     side = lambda c: facts.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     return scratch.write(compare_rows(ends.join(side("a"), "a").join(side("b"), "b"), threshold), f"star-{name}")
 
 
+def _labelled(scratch: Scratch, large: DataFrame, star: DataFrame, name: str) -> DataFrame:
+    """All members of large nodes but the two chosen ones, labelled anew by the one they joined, where that leaves a node with more than one label."""
+    joined = star.groupBy("node", F.col("b").alias("cls")).agg(F.min("a").alias("hub"), ((F.min("a") < F.max("a")) | F.max(F.col("b") == F.col("twin"))).alias("linked"))
+    one = joined.groupBy("node").agg(F.max("linked").alias("one"), F.min("hub").alias("lowest"))  # the two are of one family
+    joined = joined.join(one, "node").select("node", "cls", F.when(F.col("one"), F.col("lowest")).otherwise(F.col("hub")).alias("hub"))
+    rest = large.where("cls <> p0 and cls <> p1").join(joined, ["node", "cls"], "left").select("tree", "node", "cls", F.coalesce("hub", "label").alias("label"))
+    rest = scratch.write(rest, f"rest-{name}")
+    return rest.join(rest.groupBy("node").agg(_mixed().alias("mixed")).where("mixed").select("node"), "node", "left_semi")
+
+
 def _cells(rows: DataFrame, leaf: int) -> DataFrame:
-    """Large groups (node, size, cls, more columns) as cells of two blocks each, so that all pairs of members meet in one."""
-    rows = rows.withColumn("n_blocks", F.ceil(F.col("size") / leaf).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return each.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).drop("n_blocks", "block", "other", "size")
+    """Large groups (node, cls, label, more columns) as cells of two blocks each, so that all pairs of members meet in one, but for those
+    that both have the group's most frequent label: they are known to be of one family."""
+    counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("top"))
+    most = F.coalesce(F.col("top.n"), F.lit(0))
+    blocks = lambda n: F.ceil(n / leaf).cast("int")
+    tops = tops.select("node", F.col("top.label").alias("known"), blocks(most).alias("n_known"), blocks(F.col("size") - most).alias("n_open"))
+    rows = rows.join(tops, "node").withColumn("is_known", F.coalesce(F.col("label") == F.col("known"), F.lit(False))).where("n_open > 0")
+    place = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("is_known"), F.col("n_open") + place("n_known")).otherwise(place("n_open")))
+    reach = F.col("n_open") - 1 + F.when(F.col("is_known"), 0).otherwise(F.col("n_known"))
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), reach)))
+    each = each.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
+    return each.drop("known", "n_known", "n_open", "is_known", "block", "other", "label")
 
 
 def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold: float, leaf: int, levels: int) -> DataFrame:
@@ -397,13 +424,12 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
     while large.limit(1).count():
         star = _star(scratch, large, facts, threshold, str(level))
         pairs = pairs.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        joined = star.select("node", F.col("b").alias("cls")).distinct()
-        rest = large.where("cls <> p0 and cls <> p1").join(joined, ["node", "cls"], "left_anti").select("tree", "node", "size", "cls")
+        rest = _labelled(scratch, large, star, str(level))
         if level == levels:
-            pairs = pairs.unionByName(compare_leaves(lead(_cells(rest.select("node", "size", "cls"), leaf)), threshold))
+            pairs = pairs.unionByName(compare_leaves(lead(_cells(rest.select("node", "cls", "label"), leaf)), threshold))
             break
         level += 1
-        below = _sized(scratch, children(rest.join(facts, "cls").select("tree", "node", "cls", "sig"), TREES, first=False), str(level))
+        below = _sized(scratch, children(rest.join(facts, "cls").select("tree", "node", "cls", "label", "sig"), TREES, first=False), str(level))
         pairs = pairs.unionByName(compare_leaves(lead(below.where(F.col("size") <= leaf).select("node", "cls")), threshold))
         large = below.where(F.col("size") > leaf)
     return scratch.write(pairs.distinct(), "pairs")
@@ -412,10 +438,11 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
 def _large_families(scratch: Scratch, facts: DataFrame, nodes: DataFrame, families: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
     """Components (id, component) within families (node, size, cls) that exceed a task."""
     most = leaf * BLOCKS
-    groups = _cells(families.where(F.col("size") <= most), leaf)
+    unlabelled = F.lit(None).cast("bigint").alias("label")
+    groups = _cells(families.where(F.col("size") <= most).select("node", "cls", unlabelled), leaf)
     if (giant := families.where(F.col("size") > most)).limit(1).count():
         met = nodes.where(F.col("tree") < LARGE_TREES).select("node", "size", "cls").join(giant.select("cls"), "cls")
-        groups = groups.unionByName(met.where(F.col("size") <= leaf).drop("size")).unionByName(_cells(met.where(F.col("size") > leaf), leaf))
+        groups = groups.unionByName(met.where(F.col("size") <= leaf).drop("size")).unionByName(_cells(met.where(F.col("size") > leaf).select("node", "cls", unlabelled), leaf))
     of = lambda c: groups.join(facts, "cls").join(sets.select("cls", F.col(c).alias("hashes")), "cls").select("node", "cls", "n_shingles", "sig", "hashes")
     pairs = scratch.write(compare_sets(of("narrow"), percent, wide=False, named=False), "large")
     links = scratch.write(confirm(pairs, sets, percent), "confirmed")

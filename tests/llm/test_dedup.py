@@ -67,6 +67,31 @@ def test_minhash_families_beyond_blocks(spark, monkeypatch):
     assert got == brute_groups(rows, 3, 85)
 
 
+def sharing(n, shared, alike, seed=3):
+    """n pairs of near copies, that alone are links, of texts that all begin by one passage. Shingles of width 1; about ``alike`` in a pair."""
+    r = random.Random(seed)
+    passage, rows = [f"s{i}" for i in range(shared)], []
+    for i in range(n):
+        own = [f"o{i}.{k}" for k in range(100 - shared)]
+        change = round(100 * (1 - alike) / (1 + alike))
+        copy = own[change:] + [f"c{i}.{k}" for k in range(change)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + copy))]
+    r.shuffle(rows)
+    return rows
+
+
+def parted(spark, rows, percent, **sizes):
+    """How many of the pairs of :func:`sharing` aren't linked, or with others."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 1, percent, **sizes).collect()}
+    return sum((got[d], got[d + 1]) != (d, d) for d in range(0, len(rows), 2))
+
+
+def test_minhash_joined_classes_stay(spark):
+    """At 82 shared words of 100 (similarity 0.69) about half of all classes are candidates of a node's chosen two, and half aren't."""
+    assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16) == 0
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (1, "other words that are not alike at all")]
     got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
