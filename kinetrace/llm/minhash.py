@@ -4,13 +4,15 @@ A document is the set of its distinct word shingles, as 64-bit hashes, and ``K``
 sets form a class and take part once. Each of ``TREES`` independent trees branches classes by chosen minwise values: a node is a
 path of coordinates and values, and its members agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustively
 by their minwise values. Larger ones are compared with two of their members, and what is similar to one of these is labelled by it;
-all others but these two branch on. A label says of which family a class is known to be, so a node with one label is done. A pair at threshold t shares a first node in some tree with probability 1 - (1 - t)^TREES.
+all others but these two branch on. A label says of which family a class is known to be, so a node with one label is done. A node branches by
+``REPEATS`` coordinates at once, so a pair at threshold t is parted in a large node with probability (1 - t)^REPEATS; it is missed in
+TREES trees with (1 - t)^TREES where nodes are small, and with (1 - t (1 - (1 - t)^REPEATS)^LEVELS)^TREES at most.
 
 Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates, of which
 a spanning forest per node is kept; their components are families. No link leaves a family. A family of at most ``LEAF`` members
 is one task's work, which holds candidates' full sets against each other and names its components. In larger families blocks of
 members are held against blocks, on sets of 32-bit hashes; of what passes each pair of blocks gives a spanning forest, which is
-confirmed on full sets. So near misses and links, of which a large family has very many, aren't listed. Families beyond ``BLOCKS`` blocks are compared by the nodes of ``LARGE_TREES`` trees instead of as a whole.
+confirmed on full sets. So near misses and links, of which a large family has very many, aren't listed. Families beyond ``BLOCKS`` blocks are compared by the trees' first nodes instead of as a whole.
 
 Nulls and texts without words have an empty set and link with nothing. Rows with a null doc_id link with nothing either; their
 component is null and they are kept. Repeated rows are of one class. Extra columns don't matter. An empty table gives an empty result.
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, byte_slices, components, parts
 
 K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 3, 256
-#: Blocks of a family that is compared as a whole; and the trees in which larger families, and nodes beyond LEAF, are looked at.
-BLOCKS, LARGE_TREES = 16, 5
+#: Coordinates by which a node beyond LEAF branches, each into nodes of its own.
+REPEATS = 2
+#: Blocks of a family that is compared as a whole.
+BLOCKS = 16
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -134,7 +138,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
-    """(tree, node, cls, label) one level down, by one coordinate: at the root the tree's own, below it one chosen by a hash of the node."""
+    """(tree, node, cls, label) one level down: at the root by the tree's own coordinate, below it by each of REPEATS, chosen by a hash of the node."""
     schema = "tree int, node bigint, cls bigint, label bigint"
     shape = arrow(schema)
 
@@ -149,7 +153,7 @@ def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
                 paths = [(np.full(len(cls), t), np.full(len(cls), t, np.uint64), np.full(len(cls), t % K)) for t in range(trees)]
             else:
                 node = batch.column("node").to_numpy().view(np.uint64)
-                paths = [(batch.column("tree").to_numpy(), node, (mix(node + np.uint64(77)) % np.uint64(K)).astype(np.int64))]
+                paths = [(batch.column("tree").to_numpy(), node, ((mix(node + np.uint64(77)) + np.uint64(k)) % np.uint64(K)).astype(np.int64)) for k in range(REPEATS)]
             for tree, path, at in paths:
                 value = sig[np.arange(len(cls)), at].astype(np.uint64)
                 new = mix(mix(path + np.uint64(0xABCDEF)) ^ mix(value + (at.astype(np.uint64) << np.uint64(32))))
@@ -420,7 +424,7 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
     """Candidate pairs (a, b) that span every family."""
     lead = lambda x: x.join(facts, "cls").select("node", "cls", "n_shingles", "sig")
     pairs = compare_leaves(lead(nodes.where(F.col("size") <= leaf).select("node", "cls")), threshold)
-    level, large = 0, nodes.where((F.col("size") > leaf) & (F.col("tree") < LARGE_TREES))
+    level, large = 0, nodes.where(F.col("size") > leaf)
     while large.limit(1).count():
         star = _star(scratch, large, facts, threshold, str(level))
         pairs = pairs.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -441,7 +445,7 @@ def _large_families(scratch: Scratch, facts: DataFrame, nodes: DataFrame, famili
     unlabelled = F.lit(None).cast("bigint").alias("label")
     groups = _cells(families.where(F.col("size") <= most).select("node", "cls", unlabelled), leaf)
     if (giant := families.where(F.col("size") > most)).limit(1).count():
-        met = nodes.where(F.col("tree") < LARGE_TREES).select("node", "size", "cls").join(giant.select("cls"), "cls")
+        met = nodes.select("node", "size", "cls").join(giant.select("cls"), "cls")
         groups = groups.unionByName(met.where(F.col("size") <= leaf).drop("size")).unionByName(_cells(met.where(F.col("size") > leaf).select("node", "cls", unlabelled), leaf))
     of = lambda c: groups.join(facts, "cls").join(sets.select("cls", F.col(c).alias("hashes")), "cls").select("node", "cls", "n_shingles", "sig", "hashes")
     pairs = scratch.write(compare_sets(of("narrow"), percent, wide=False, named=False), "large")

@@ -92,6 +92,11 @@ def test_minhash_joined_classes_stay(spark):
     assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16) == 0
 
 
+def test_minhash_large_nodes_keep_recall(spark):
+    """With few trees: a large node that branches by one coordinate loses several of these pairs."""
+    assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16, trees=3) == 0
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (1, "other words that are not alike at all")]
     got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
