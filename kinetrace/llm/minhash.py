@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles, as 64-bit hashes, and ``K`` minwise values of that set. Documents with equal
 sets form a class and take part once. Each of ``TREES`` independent trees branches classes by chosen minwise values: a node is a
 path of coordinates and values, and its members agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustively
-by their minwise values. Larger ones are compared with two of their members, and what is similar to one of these is labelled by it;
-all others but these two branch on. A label says of which family a class is known to be, so a node with one label is done. A node branches by
+by their minwise values. Larger ones are compared with one of their members, their hub, and what is similar to it is labelled by it;
+all others but the hub branch on. A label says of which family a class is known to be, so a node with one label is done. A node branches by
 ``REPEATS`` coordinates at once, so a pair at threshold t is parted in a large node with probability (1 - t)^REPEATS; it is missed in
 TREES trees with (1 - t)^TREES where nodes are small, and with (1 - t (1 - (1 - t)^REPEATS)^LEVELS)^TREES at most.
 
@@ -12,7 +12,8 @@ Pairs whose minwise values agree often enough (five standard deviations below th
 a spanning forest per node is kept; their components are families. No link leaves a family. A family of at most ``LEAF`` members
 is one task's work, which holds candidates' full sets against each other and names its components. In larger families blocks of
 members are held against blocks, on sets of 32-bit hashes; of what passes each pair of blocks gives a spanning forest, which is
-confirmed on full sets. So near misses and links, of which a large family has very many, aren't listed. Families beyond ``BLOCKS`` blocks are compared by the trees' first nodes instead of as a whole.
+confirmed on full sets. So near misses and links, of which a large family has very many, aren't listed. In families
+beyond ``BLOCKS`` blocks candidates are confirmed first, and only members that this leaves apart are held against others.
 
 Nulls and texts without words have an empty set and link with nothing. Rows with a null doc_id link with nothing either; their
 component is null and they are kept. Repeated rows are of one class. Extra columns don't matter. An empty table gives an empty result.
@@ -34,7 +35,7 @@ from .common import Scratch, arrow, byte_slices, components, parts
 K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 3, 256
 #: Coordinates by which a node beyond LEAF branches, each into nodes of its own.
 REPEATS = 2
-#: Blocks of a family that is compared as a whole.
+#: Blocks of a family that is compared without confirming its candidates first.
 BLOCKS = 16
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -308,8 +309,8 @@ def compare_sets(rows: DataFrame, percent: int, wide: bool, named: bool) -> Data
 
 
 def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the rows (node, twin, a, b, na, nb, sa, sb) that may reach the threshold."""
-    schema = "node bigint, twin bigint, a bigint, b bigint"
+    """Those of the rows (node, a, b, na, nb, sa, sb) that may reach the threshold."""
+    schema = "node bigint, a bigint, b bigint"
     shape, least = arrow(schema), agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +320,9 @@ def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = ((x == y).sum(1) >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("node", "twin", "a", "b")], schema=shape)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("node", "a", "b")], schema=shape)
 
-    return pairs.select("node", "twin", "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
+    return pairs.select("node", "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -376,29 +377,26 @@ def _mixed() -> Column:
 
 
 def _sized(scratch: Scratch, frontier: DataFrame, name: str) -> DataFrame:
-    """Members of nodes that have two or more, not all of one label, with the node's size and two members, one without a label if there is one."""
+    """Members of nodes that have two or more, not all of one label, with the node's size and its hub, a member without a label if there is one."""
     frontier = scratch.write(frontier, f"frontier-{name}")
     first = F.min(F.struct(F.col("label").isNotNull(), "cls"))["cls"]
-    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first.alias("p0"), F.max("cls").alias("p1"), _mixed().alias("mixed"))
+    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first.alias("hub"), _mixed().alias("mixed"))
     out = scratch.write(frontier.join(sizes.where("size > 1 and mixed").drop("mixed"), "node"), f"nodes-{name}")
     scratch.drop(f"frontier-{name}")
     return out
 
 
 def _star(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float, name: str) -> DataFrame:
-    """Candidates (node, twin, a, b) among a large node's two chosen members a and all others; twin is the other one of the two."""
-    ends = large.select("node", F.explode(F.array(F.struct(F.col("p0").alias("a"), F.col("p1").alias("twin")), F.struct(F.col("p1").alias("a"), F.col("p0").alias("twin")))).alias("end"), F.col("cls").alias("b"))
-    ends = ends.select("node", "end.*", "b").where("a <> b")
+    """Candidates (node, a, b) among a large node's hub a and all others."""
+    ends = large.select("node", F.col("hub").alias("a"), F.col("cls").alias("b")).where("a <> b")
     side = lambda c: facts.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     return scratch.write(compare_rows(ends.join(side("a"), "a").join(side("b"), "b"), threshold), f"star-{name}")
 
 
 def _labelled(scratch: Scratch, large: DataFrame, star: DataFrame, name: str) -> DataFrame:
-    """All members of large nodes but the two chosen ones, labelled anew by the one they joined, where that leaves a node with more than one label."""
-    joined = star.groupBy("node", F.col("b").alias("cls")).agg(F.min("a").alias("hub"), ((F.min("a") < F.max("a")) | F.max(F.col("b") == F.col("twin"))).alias("linked"))
-    one = joined.groupBy("node").agg(F.max("linked").alias("one"), F.min("hub").alias("lowest"))  # the two are of one family
-    joined = joined.join(one, "node").select("node", "cls", F.when(F.col("one"), F.col("lowest")).otherwise(F.col("hub")).alias("hub"))
-    rest = large.where("cls <> p0 and cls <> p1").join(joined, ["node", "cls"], "left").select("tree", "node", "cls", F.coalesce("hub", "label").alias("label"))
+    """All members of large nodes but the hub, labelled anew by it if they joined it, where that leaves a node with more than one label."""
+    joined = star.select("node", F.col("b").alias("cls"), F.col("a").alias("new"))
+    rest = large.where("cls <> hub").join(joined, ["node", "cls"], "left").select("tree", "node", "cls", F.coalesce("new", "label").alias("label"))
     rest = scratch.write(rest, f"rest-{name}")
     return rest.join(rest.groupBy("node").agg(_mixed().alias("mixed")).where("mixed").select("node"), "node", "left_semi")
 
@@ -423,7 +421,8 @@ def _cells(rows: DataFrame, leaf: int) -> DataFrame:
 def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold: float, leaf: int, levels: int) -> DataFrame:
     """Candidate pairs (a, b) that span every family."""
     lead = lambda x: x.join(facts, "cls").select("node", "cls", "n_shingles", "sig")
-    pairs = compare_leaves(lead(nodes.where(F.col("size") <= leaf).select("node", "cls")), threshold)
+    leaves = lambda x: compare_leaves(lead(x.where(F.col("size") <= leaf).select("node", "cls")), threshold)
+    pairs = scratch.write(leaves(nodes), "leaves-0")
     level, large = 0, nodes.where(F.col("size") > leaf)
     while large.limit(1).count():
         star = _star(scratch, large, facts, threshold, str(level))
@@ -434,24 +433,32 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
             break
         level += 1
         below = _sized(scratch, children(rest.join(facts, "cls").select("tree", "node", "cls", "label", "sig"), TREES, first=False), str(level))
-        pairs = pairs.unionByName(compare_leaves(lead(below.where(F.col("size") <= leaf).select("node", "cls")), threshold))
+        pairs = pairs.unionByName(scratch.write(leaves(below), f"leaves-{level}"))
+        for done in ("nodes", "rest"):
+            scratch.drop(f"{done}-{level - 1}")
         large = below.where(F.col("size") > leaf)
-    return scratch.write(pairs.distinct(), "pairs")
+    out = scratch.write(pairs.distinct(), "pairs")
+    for k in range(level + 1):
+        for done in ("nodes", "rest", "star", "leaves"):
+            scratch.drop(f"{done}-{k}")
+    return out
 
 
-def _large_families(scratch: Scratch, facts: DataFrame, nodes: DataFrame, families: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+def _large_families(scratch: Scratch, facts: DataFrame, candidates: DataFrame, families: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
     """Components (id, component) within families (node, size, cls) that exceed a task."""
-    most = leaf * BLOCKS
-    unlabelled = F.lit(None).cast("bigint").alias("label")
-    groups = _cells(families.where(F.col("size") <= most).select("node", "cls", unlabelled), leaf)
+    most, known = leaf * BLOCKS, None
+    whole = families.where(F.col("size") <= most).select("node", "cls", F.lit(None).cast("bigint").alias("label"))
     if (giant := families.where(F.col("size") > most)).limit(1).count():
-        met = nodes.select("node", "size", "cls").join(giant.select("cls"), "cls")
-        groups = groups.unionByName(met.where(F.col("size") <= leaf).drop("size")).unionByName(_cells(met.where(F.col("size") > leaf).select("node", "cls", unlabelled), leaf))
+        known = scratch.write(confirm(candidates.join(giant.select(F.col("cls").alias("a")), "a", "left_semi"), sets, percent), "known")
+        labels = components(scratch, known, "known-components").select(F.col("id").alias("cls"), F.col("component").alias("label"))
+        whole = whole.unionByName(giant.select("node", "cls").join(labels, "cls", "left").select("node", "cls", "label"))
+    groups = _cells(whole, leaf)
     of = lambda c: groups.join(facts, "cls").join(sets.select("cls", F.col(c).alias("hashes")), "cls").select("node", "cls", "n_shingles", "sig", "hashes")
     pairs = scratch.write(compare_sets(of("narrow"), percent, wide=False, named=False), "large")
     links = scratch.write(confirm(pairs, sets, percent), "confirmed")
     if links.count() < pairs.count():  # 32-bit hashes met by chance; a pair that hid behind such a one would be lost
         links = compare_sets(of("hashes"), percent, wide=True, named=False)
+    links = links.unionByName(known) if known is not None else links
     return components(scratch, links, "large-components")
 
 
@@ -470,7 +477,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     small = members.where(F.col("size") <= leaf).select("node", "cls")
     found = compare_sets(small.join(facts, "cls").join(sets.select("cls", "hashes"), "cls").select("node", "cls", "n_shingles", "sig", "hashes"), percent, wide=True, named=True)
     if (large := members.where(F.col("size") > leaf)).limit(1).count():
-        found = found.unionByName(_large_families(scratch, facts, nodes, large, sets, percent, leaf))
+        found = found.unionByName(_large_families(scratch, facts, pairs, large, sets, percent, leaf))
     found = found.withColumnRenamed("id", "cls")
 
     named = classes.select("cls", "doc_id").join(found, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))

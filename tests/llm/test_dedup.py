@@ -97,6 +97,15 @@ def test_minhash_large_nodes_keep_recall(spark):
     assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16, trees=3) == 0
 
 
+def test_minhash_giant_families_lose_no_link(spark, monkeypatch):
+    """Two trees find the family; all links within it must be found whatever its size."""
+    rows, lost = sharing(400, 75, 0.81), []
+    for blocks in (100, 1):
+        monkeypatch.setattr(minhash, "BLOCKS", blocks)
+        lost.append(parted(spark, rows, 80, leaf=16, trees=2))
+    assert lost[0] == lost[1]
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (1, "other words that are not alike at all")]
     got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
