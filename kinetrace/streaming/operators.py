@@ -7,8 +7,9 @@ one once the watermark has passed); hold-last output doesn't wait.
 from __future__ import annotations
 
 import pickle
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,38 +44,55 @@ def voxelize(points: DataFrame, cloud: str, time: str, late: str, width: str, **
     return out.select(F.col("window.start").alias("start"), cloud, *VOXEL, "n")
 
 
-def _at(buffer: list[tuple[int, float]], t: int) -> float | None:
-    """The line between the samples around t; beyond the ends the nearest sample."""
-    if not buffer:
+def _at(buffer: list[tuple[int, float]], t: int, first: int = 0) -> float | None:
+    """The line between the samples around t, from the place ``first`` on; beyond the ends the nearest sample."""
+    if len(buffer) <= first:
         return None
-    i = bisect_left(buffer, (t,))
+    i = bisect_left(buffer, (t,), first)
     if i == len(buffer):
         return buffer[-1][1]
-    if i == 0 or buffer[i][0] == t:
+    if i == first or buffer[i][0] == t:
         return buffer[i][1]
     (a, x), (b, y) = buffer[i - 1], buffer[i]
     return x + (t - a) / (b - a) * (y - x)
 
 
 def _fuser(streams: tuple[str, ...], step: int, least: dict[str, int], capacity: dict[str, int], key: str, hold: bool) -> Callable[..., Iterator[pd.DataFrame]]:
+    most = {s: capacity.get(s, DEFAULT_CAPACITY) for s in streams}
+
     def run(name: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffers, tick = pickle.loads(state.get[0]) if state.exists else ({s: [] for s in streams}, None)
-        for pdf in rows:
-            for s, t, v in zip(pdf["stream"], pdf["t"], pdf["value"], strict=True):
-                if s in buffers and v == v:
-                    buffers[s].append((int(t), float(v)))
-        for s in streams:
-            buffers[s] = sorted(set(buffers[s]))[-capacity.get(s, DEFAULT_CAPACITY) :]
-        newest = {s: b[-1][0] for s, b in buffers.items() if b}
-        out = []
-        if newest:
-            if tick is None:
-                tick = -(-min(b[0][0] for b in buffers.values() if b) // step) * step
-            end = max(newest.values()) if hold or state.hasTimedOut else (min(newest.values()) if len(newest) == len(streams) else tick - 1)
+        first, out, come = dict.fromkeys(streams, 0), [], set()  # samples before ``first`` have left a buffer
+
+        def emit(end: int) -> None:
+            nonlocal tick
             while tick <= end:
-                if all(len(buffers[s]) >= n for s, n in least.items()):
-                    out.append((name[0], tick, *(_at(buffers[s], tick) for s in streams)))
+                if all(len(buffers[s]) - first[s] >= n for s, n in least.items()):
+                    out.append((name[0], tick, *(_at(buffers[s], tick, first[s]) for s in streams)))
                 tick += step
+
+        for pdf in rows:
+            come.update((int(t), s, float(v)) for s, t, v in zip(pdf["stream"], pdf["t"], pdf["value"], strict=True) if s in buffers and v == v)
+        # In the order of time, so that samples leave a full buffer only after the ticks that were due before.
+        for t, same in groupby(sorted(come), key=lambda x: x[0]):
+            new = [(s, (t, v)) for _, s, v in same]
+            for s, x in new:
+                at = bisect_left(buffers[s], x, first[s])
+                if at == len(buffers[s]) or buffers[s][at] != x:
+                    insort(buffers[s], x, first[s])
+            newest = [b[-1][0] for b in buffers.values() if b]
+            tick = -(-t // step) * step if tick is None else tick
+            if hold or len(newest) == len(streams):
+                emit(max(newest) if hold else min(newest))
+            for s, _ in new:
+                first[s] = max(first[s], len(buffers[s]) - most[s])
+                if first[s] > most[s]:
+                    del buffers[s][: first[s]]
+                    first[s] = 0
+        newest = {s: b[-1][0] for s, b in buffers.items() if b}
+        if state.hasTimedOut and newest:
+            emit(max(newest.values()))
+        buffers = {s: b[first[s] :] for s, b in buffers.items()}
         if state.hasTimedOut:
             state.remove()
         else:

@@ -2,12 +2,14 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.diagnostics import Config, Metrics, check_environment, health_check, self_test
 from kinetrace.operators import attention, augment, episodes, kinematics, metrics, planning, voxel
 from kinetrace.sources import readers
+from kinetrace.streaming import operators as streaming
 
 
 def cloud(spark, rows):
@@ -140,3 +142,28 @@ def test_exports_and_health(spark, tmp_path):
     assert "pyspark" in check_environment(spark)
     Config(tolerance=1e-3).save(str(tmp_path / "c.json"))
     assert Config.load(str(tmp_path / "c.json")).tolerance == 1e-3
+
+
+class State:
+    """A key's state, as applyInPandasWithState hands it on."""
+
+    hasTimedOut, exists = False, False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        pass
+
+
+@pytest.mark.parametrize("hold", [False, True])
+@pytest.mark.parametrize("size", [1000, 38])
+def test_fuser_emits_before_samples_leave_full_buffers(hold, size):
+    rows = pd.DataFrame([(s, t, float(t)) for t in range(0, 5000, 10) for s in ("a", "b")], columns=["stream", "t", "value"])
+    run, state, got = streaming._fuser(("a", "b"), 5, {"a": 2}, {"a": 20, "b": 20}, "k", hold), State(), []
+    for at in range(0, len(rows), size):
+        got += [tuple(r) for p in run((7,), iter([rows[at : at + size]]), state) for r in p.itertuples(index=False)]
+    assert got == [(7, t, t, t) for t in range(5, 4991, 5)]
