@@ -2,8 +2,9 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest that fits decides. URLs without a
 rule are judged by naive Bayes over tokens: host labels split into words by a unigram model and Viterbi's algorithm, and the
-path's tokens. The word model is fitted by hard expectation-maximisation on at most ``LABELS`` distinct host labels, naive Bayes
-on at most ``ROWS`` URLs that a rule decides, both picked by a hash; these bound the broadcast model, whatever the table's size.
+path's tokens. The word model is fitted by hard expectation-maximisation on all distinct host labels, in Spark; its vocabulary is the
+``VOCABULARY`` parts that occur in most labels, and as many whole labels. Naive Bayes is fitted on at most ``ROWS`` URLs that a rule
+decides, picked by a hash. These bound the broadcast model, whatever the table's size.
 
 Null URLs and those without ``://`` have an empty host and path and are judged by the classes' shares. A tie, or no labelled URL
 at all, is ``allow``. Repeated URLs are judged alike. Extra columns don't matter; only ``url`` is read.
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import Scratch, arrow
 
-LABELS, ROWS, LONGEST, ROUNDS = 20_000, 20_000, 12, 8
+VOCABULARY, ROWS, LONGEST, ROUNDS = 100_000, 20_000, 24, 8
 #: Share of the most frequent label's hosts from which a label is a word by itself.
 COMMON = 0.2
 TOKEN = re.compile(r"[^\W_]+")
@@ -87,7 +88,7 @@ def fit_words(labels: dict[str, int], rounds: int = ROUNDS) -> Words:
     weight = {x: n if n >= max(often, 2) else 1 for x, n in labels.items()}
     seen: Counter[str] = Counter()
     for x in labels:
-        seen.update({x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)})
+        seen.update(_within(x))
     counts = {w: n for w, n in seen.items() if n >= 2} | {x: n for x, n in weight.items() if n > 1 and len(x) <= LONGEST}
     for _ in range(rounds):
         model, new = _costs(counts), Counter()
@@ -101,6 +102,48 @@ def fit_words(labels: dict[str, int], rounds: int = ROUNDS) -> Words:
     return _costs(counts)
 
 
+def _within(x: str) -> set[str]:
+    return {x[i:j] for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+
+
+def learn_words(labels: DataFrame, rounds: int = ROUNDS) -> Words:
+    """:func:`fit_words` over a table (label, count) of any size. Only words of the vocabulary and their counts reach the driver."""
+    scratch = Scratch(labels.sparkSession, "urls")
+    labels = scratch.write(labels, "labels")
+    often = COMMON * (labels.agg(F.max("count")).first()[0] or 0)
+    weights = labels.select("label", F.when(F.col("count") >= max(often, 2), F.col("count")).otherwise(F.lit(1)).alias("n"))
+    parts_of, sums_of = "word string", "word string, n bigint"
+    part, total = arrow(parts_of), arrow(sums_of)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("label").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_within(x), pa.string())], schema=part)
+
+    top = lambda rows: {r[0]: r[1] for r in rows.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()}
+    whole = weights.where((F.col("n") > 1) & (F.length("label") <= LONGEST)).select(F.col("label").alias("word"), F.col("n").alias("count"))
+    counts = top(weights.mapInArrow(cut, parts_of).groupBy("word").count().where("count >= 2")) | top(whole)
+    for _ in range(rounds):
+        shipped = labels.sparkSession.sparkContext.broadcast(_costs(counts))
+
+        def split(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            model = shipped.value
+            for batch in batches:
+                new: Counter[str] = Counter()
+                for x, n in zip(batch.column("label").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    for w in model.split(x):
+                        if w in model.costs:
+                            new[w] += n
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array(list(new.values()), pa.int64())], schema=total)
+
+        new = {r[0]: r[1] for r in weights.mapInArrow(split, sums_of).groupBy("word").agg(F.sum("n")).collect()}
+        shipped.destroy()
+        if new == counts:
+            break
+        counts = new
+    return _costs(counts)
+
+
 def _costs(counts: dict[str, int]) -> Words:
     """A word costs its share's logarithm, and its letters in the lexicon, shared among its uses, so rare long ones don't win by themselves."""
     total = sum(counts.values()) or 1
@@ -142,19 +185,18 @@ def parsed(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
 
 
 def train(urls: DataFrame) -> Bayes:
-    """``urls`` as of :func:`parsed`. Both samples are the rows with the smallest hashes."""
+    """``urls`` as of :func:`parsed`. Labels count over all distinct hosts; naive Bayes takes the rows with the smallest hashes."""
     hosts = urls.where("host <> ''").select("host").distinct()
     labels = hosts.select(F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).where("label <> ''").groupBy("label").count()
-    labels = {r[0]: r[1] for r in labels.orderBy(F.xxhash64("label"), "label").limit(LABELS).collect()}
     rows = urls.where("decided is not null").select("host", "path", "decided", F.xxhash64("page_id", "host", "path").alias("h"))
     rows = [(r[0], r[1], r[2]) for r in rows.orderBy("h", "host", "path").limit(ROWS).collect()]
-    return fit_bayes(rows, fit_words(labels))
+    return fit_bayes(rows, learn_words(labels))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block by naive Bayes), words (of the host, joined by blanks)."""
     urls = parsed(pages, rules)
-    shipped = pages.sparkSession.sparkContext.broadcast(train(urls))  # bounded by LABELS and ROWS
+    shipped = pages.sparkSession.sparkContext.broadcast(train(urls))  # bounded by VOCABULARY and ROWS
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double, words string"
     shape = arrow(schema)
 

@@ -81,6 +81,19 @@ def test_segmentation_and_bayes():
     assert model.weights["red"] == pytest.approx(weight)
 
 
+def test_words_of_all_labels_are_learned(spark):
+    labels = {f"{a}{b}": 1 for a in ("red", "blue", "internationalization") for b in ("car", "bus", "boat")} | {"com": 9, "red": 1, "car": 1}
+    table = spark.createDataFrame(list(labels.items()), "label string, count bigint")
+    assert urls.learn_words(table).costs == pytest.approx(urls.fit_words(labels).costs)
+    assert "internationalization" in urls.fit_words(labels).split("internationalizationcar")
+    assert urls.learn_words(table.limit(0)).costs == {}
+    # More labels than the sample of 20,000 of old: each part is in a few of them only.
+    many = spark.range(30_000).select(F.format_string("http://q%05dz.com/de/1", "id").alias("url"), F.col("id").alias("page_id"))
+    words = urls.train(urls.parsed(many)).words
+    assert words.split("com") == ["com"]
+    assert words.costs["com"] == min(words.costs.values())
+
+
 PAGES = [(1, "http://a", "x" * 999), (2, "http://b", "x" * 999), (3, "u\r\nv", "é" * 500), (4, None, "é" * 500), (5, "http://c", None), (6, "", ""), (7, "http://d", "é" * 500), (8, "http://e", "y" * 1000), (9, "k" * 5000, "z" * 300_000)]
 
 
