@@ -10,6 +10,9 @@ against full sets of shingle texts.
 Documents of any length are searched whole: each distinct shingle's hash is looked up in the sketches. Spark broadcasts the
 sketches, and later the candidates, where their size at run time is below its threshold, else it shuffles by hash.
 
+Items of one to four words match only documents that consist of just these words; inside longer documents they aren't searched, as in
+the SQL of this operator.
+
 Null or wordless texts, of documents or items, match nothing. Repeated items are items of their own; equal rows of documents give
 one row per item. Null doc_ids are carried along. An empty table gives an empty result. Extra columns don't matter.
 """
