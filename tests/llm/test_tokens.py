@@ -92,10 +92,72 @@ def test_packing(spark):
     assert sum(map(len, whole.values())) == total
 
 
-def test_small_groups_are_packed_again(spark):
-    items = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), (F.col("id") % 97 + 1).alias("length"), F.lit(0).cast("bigint").alias("ids_crc32"))
-    out = packing.pack(Scratch(spark, "t"), items, 100, group=40)
-    n, total = out.select("sequence_id").distinct().count(), out.agg(F.sum("length")).first()[0]
-    assert out.count() == 500
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("s")).where("s > 100").count() == 0
-    assert n <= total / 100 * 1.05 + 2
+def items_of(spark, n, length, parts=8):
+    zero = F.lit(0).cast("bigint")
+    return spark.range(0, n, 1, parts).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), zero.alias("start"), length.cast("bigint").alias("length"), zero.alias("ids_crc32"))
+
+
+def sound(out, capacity):
+    """Sequences: from 0 without gaps, within the capacity. Their number."""
+    cut = "row_number() over (partition by sequence_id order by offset)"
+    before = "coalesce(sum(length) over (partition by sequence_id order by offset rows between unbounded preceding and 1 preceding), 0)"
+    assert out.selectExpr("*", f"{before} as at", f"{cut} as k").where(f"at <> offset or at + length > {capacity}").count() == 0
+    return out.select("sequence_id").distinct().count()
+
+
+@pytest.mark.parametrize("steps", [40, 1 << 16])
+def test_steps_of_many_pieces(spark, steps):
+    items = items_of(spark, 50_000, F.col("id") * F.col("id") % 97 + 1)
+    out = packing.pack(Scratch(spark, "t"), items, 100, steps=steps).cache()
+    total = out.agg(F.sum("length")).first()[0]
+    assert out.select("doc_id").distinct().count() == out.count() == 50_000
+    assert sound(out, 100) <= total / 100 * (1.02 if steps > 40 else 1.05) + 2
+
+
+def test_pieces_beyond_half_a_sequence(spark):
+    out = packing.pack(Scratch(spark, "t"), items_of(spark, 200_000, F.lit(2100)))
+    assert sound(out, 4096) == out.count() == 200_000
+
+
+def test_hot_length_and_full_pieces(spark):
+    length = F.when(F.col("id") % 3 == 0, 4096).when(F.col("id") % 3 == 1, 12).otherwise(F.col("id") % 4095 + 1)
+    out = packing.pack(Scratch(spark, "t"), items_of(spark, 30_000, length)).cache()
+    total = out.agg(F.sum("length")).first()[0]
+    assert out.count() == 30_000
+    assert sound(out, 4096) <= total / 4096 * 1.005 + 2
+
+
+def test_plan_of_a_huge_corpus():
+    counts = np.bincount(np.minimum(np.random.default_rng(1).lognormal(6.5, 1.2, 100_000).astype(int) + 1, 4096), minlength=4097) * 100_003
+    got = packing.plan(counts)
+    assert len(got.key) < 500_000
+    assert got.copies.sum() == counts[:-1].sum()
+    total = (counts[:-1] * np.arange(4096)).sum()
+    assert got.n_bins <= total / 4096 * 1.001 + 1
+
+
+def test_sum_of_squares_by_brute_force():
+    """Single steps against the rule itself, tried over all open bins."""
+    r = random.Random(4)
+    for _ in range(30):
+        lengths = sorted((r.randint(1, 19) for _ in range(60)), reverse=True)
+        counts = np.bincount(lengths, minlength=21)
+        gaps = []
+        for s in lengths:
+            squares = lambda g: sum(x * x for x in np.bincount(g, minlength=21)[1:-1].tolist())
+            fits = [(squares([h - s if k == j else h for k, h in enumerate(gaps)]), g, j) for j, g in enumerate(gaps) if g >= s]
+            if fits:
+                gaps[min(fits)[2]] -= s
+            else:
+                gaps.append(20 - s)
+        got = packing.plan(counts)
+        filled = np.zeros(got.n_bins, int)
+        np.add.at(filled, got.bin, got.key >> 48)
+        assert sorted(20 - filled) == sorted(gaps)
+
+
+def test_packing_of_no_and_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, None)], "doc_id bigint, text string").withColumns({"task": F.lit("x"), "nth": F.lit(1), "length": F.lit("z"), "a.b": F.lit(0)})
+    out = packing.packed_documents(docs)
+    assert (out.count(), sound(out, 4096)) == (5, 1)
+    assert packing.packed_documents(docs.limit(0)).count() == 0
