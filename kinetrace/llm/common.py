@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component), the smallest id that links reach, for ids with an edge.
 
     Each round takes the smallest label among neighbours and then follows labels once, so chains shrink geometrically. Labels
@@ -103,7 +104,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
     # Labels are written by as many tasks as their number asks for, so that small graphs aren't dozens of tiny files each round.
     width = max(1, -(-both.count() // LABELS))
     labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).coalesce(width), f"{name}-0")
-    for k in range(1, rounds + 1):
+    for k in count(1):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "id").select("id", F.least("component", "near").alias("low"), F.col("component").alias("was"))
         low = scratch.write(low.coalesce(width), f"{name}-low")
@@ -113,4 +114,3 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
         labels = new.select("id", "component")
         if not new.where("changed").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,12 +1,17 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its distinct word shingles, as 64-bit hashes, and ``K`` minwise values of that set. Documents with equal
-sets form a class and take part once. Each of ``TREES`` independent trees branches classes by chosen minwise values: a node is a
-path of coordinates and values, and its members agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustively
-by their minwise values. Larger ones are compared with one of their members, their hub, and what is similar to it is labelled by it;
-all others but the hub branch on. A label says of which family a class is known to be, so a node with one label is done. A node branches by
-``REPEATS`` coordinates at once, so a pair at threshold t is parted in a large node with probability (1 - t)^REPEATS; it is missed in
-TREES trees with (1 - t)^TREES where nodes are small, and with (1 - t (1 - (1 - t)^REPEATS)^LEVELS)^TREES at most.
+sets form a class and take part once; a class is named by 64 bits and checked by 64 more, and renamed if two sets share a name. Each of
+``TREES`` independent trees branches classes by chosen minwise values: a node is a path of coordinates and values, and its members
+agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustively by their minwise values.
+
+Of a larger node about ``PROBE`` members, picked by a hash, say what to do with it. If many of them are alike, one of those, the
+hub, is compared with all members, and what is similar to it is labelled by it: a label says of which family a class is known to be.
+Members with the node's most frequent label needn't meet one another. So a node with one label is done, and where at most LEAF
+members lack the most frequent one, these meet all others in blocks, which is linear in the node. Else all but the hub branch on, by
+coordinates taken at random: as many as share out the node (their chances that two members agree sum up to ``WORK`` at least), two
+at least and ``WAYS`` at most. The fewer members agree on a coordinate by chance, the more paths a pair thus gets, whatever the
+node's size. What is large still after ``LEVELS`` levels meets in blocks against blocks.
 
 Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates, of which
 a spanning forest per node is kept; their components are families. No link leaves a family. A family of at most ``LEAF`` members
@@ -16,7 +21,9 @@ confirmed on full sets. So near misses and links, of which a large family has ve
 beyond ``BLOCKS`` blocks candidates are confirmed first, and only members that this leaves apart are held against others.
 
 Nulls and texts without words have an empty set and link with nothing. Rows with a null doc_id link with nothing either; their
-component is null and they are kept. Repeated rows are of one class. Extra columns don't matter. An empty table gives an empty result.
+component is null and they are kept. Repeated rows are of one class. Extra columns don't matter, whatever their names. An empty table
+gives an empty result. A text of any length is read whole; words are hashed in windows of ``WINDOW`` bytes, so beyond a text's own
+bytes a worker holds about 40 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -26,18 +33,20 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, byte_slices, components, parts
 
-K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 3, 256
-#: Coordinates by which a node beyond LEAF branches, each into nodes of its own.
-REPEATS = 2
+K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 16, 256
+#: Members of a large node by which it is judged; coordinates by which it branches, at least and at most; what their chances sum up to.
+PROBE, LEAST_WAYS, WAYS, WORK = 256, 2, 6, 1.2
 #: Blocks of a family that is compared without confirming its candidates first.
 BLOCKS = 16
-ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+ODD = 0x9E3779B97F4A7C15
+WINDOW, NEAR = 1 << 20, 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint64)
@@ -53,30 +62,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def letters(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random number for each byte at each place of a word."""
+    return mix((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(ODD))
+
+
 @cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ODD and of its inverse, modulo 2^64."""
-    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64), dtype=np.uint64)]) for x in (ODD, INVERSE))
+def letter_table() -> np.ndarray:
+    """:func:`letters` of the first NEAR places, by place and byte, with A-Z as a-z."""
+    return letters(np.arange(NEAR, dtype=np.uint64)[:, None], LOWER[None]).ravel()
 
 
 SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(ODD))
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's start and hash, A-Z as a-z. A word's hash sums up random numbers for its bytes and their places."""
+    size, table, a, starts, hashes = len(data), letter_table(), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    while a < size:
+        b = min(size, a + WINDOW)
+        while b < size and not len(blank := np.flatnonzero(SPACE[data[b : b + WINDOW]])):
+            b = min(size, b + WINDOW)
+        b += int(blank[0]) if b < size else 0
+        part = data[a:b]
+        inside = ~SPACE[part]
+        first = np.zeros(len(part), bool)
+        cuts = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+        first[cuts] = True
+        first[1:] |= ~inside[:-1]
+        first[:1] = True
+        at = np.flatnonzero(inside)
+        begin = np.flatnonzero(first[at])  # among the bytes of words
+        length = np.diff(np.append(begin, len(at)))
+        place = np.arange(len(at)) - np.repeat(begin, length)
+        byte = part[at]
+        value = table[np.minimum(place, NEAR - 1) * 256 + byte]
+        if len(far := np.flatnonzero(place >= NEAR)):
+            value[far] = letters(place[far], LOWER[byte[far]])
+        if len(begin):
+            starts.append(at[begin] + a)
+            hashes.append(mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        a = b
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingle hashes in rising order, one text after the other, and n + 1 bounds."""
-    n, size = len(offsets) - 1, len(data)
-    if not size:
+    n = len(offsets) - 1
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    up, down = powers(1 << max(20, (size - 1).bit_length()))
-    inside = ~SPACE[data]
-    first = np.zeros(size + 1, bool)
-    first[offsets[:-1]] = True
-    before = np.concatenate([[False], inside[:-1]])
-    starts = np.flatnonzero(inside & (~before | first[:-1]))
-    after = np.concatenate([inside[1:], [False]])
-    ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[data] + np.uint64(1)) * up[:size], dtype=np.uint64)])
-    word = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    starts, word = words(data, offsets)
     of = np.searchsorted(starts, offsets)  # each text's first word
     count = np.diff(of)
     out, got = [], np.zeros(n, np.int64)
@@ -111,56 +146,73 @@ def minwise(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def set_keys(sets: np.ndarray, bounds: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """A 64-bit name for each set that isn't empty."""
     full = np.diff(bounds) > 0
     starts = bounds[:-1][full]
     if not len(starts):
         return np.zeros(0, np.int64)
-    return mix(np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), starts) + np.diff(bounds)[full].astype(np.uint64)).view(np.int64)
+    return mix(np.add.reduceat(mix(sets ^ np.uint64(salt)), starts) + np.diff(bounds)[full].astype(np.uint64)).view(np.int64)
+
+
+TWIN = 0x14057B7EF767814F
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig): cls names the set; both are null for an empty set."""
-    schema = "doc_id bigint, n_shingles bigint, cls bigint, sig binary"
+    """(doc_id, text_hash, n_shingles, cls, twin, sig): cls and twin name the set; they and sig are null for an empty one."""
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, cls bigint, twin bigint, sig binary"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in byte_slices(batches, most=1 << 20):
             sets, bounds = shingle_sets(data, offsets, width)
             full = np.diff(bounds) > 0
-            key, sig = np.zeros(len(full), np.int64), [None] * len(full)
-            key[full] = set_keys(sets, bounds)
+            key, twin, sig = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64), [None] * len(full)
+            key[full], twin[full] = set_keys(sets, bounds), set_keys(sets, bounds, TWIN)
             for i, row in zip(np.flatnonzero(full).tolist(), minwise(sets, bounds), strict=True):
                 sig[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(key, mask=~full), pa.array(sig, pa.binary())], schema=shape)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(bounds)), pa.array(key, mask=~full), pa.array(twin, mask=~full), pa.array(sig, pa.binary())], schema=shape)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+def _path(path: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(path + np.uint64(0xABCDEF)) ^ mix(value.astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)))).view(np.int64)
 
 
-def children(members: DataFrame, trees: int, first: bool) -> DataFrame:
-    """(tree, node, cls, label) one level down: at the root by the tree's own coordinate, below it by each of REPEATS, chosen by a hash of the node."""
+def roots(classes: DataFrame, trees: int) -> DataFrame:
+    """(tree, node, cls, label): each class in each tree, at the node of its value of the tree's own coordinate."""
     schema = "tree int, node bigint, cls bigint, label bigint"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
-            cls = batch.column("cls").to_numpy()
-            label = pa.nulls(len(cls), pa.int64()) if first else batch.column("label")
-            if first:
-                paths = [(np.full(len(cls), t), np.full(len(cls), t, np.uint64), np.full(len(cls), t % K)) for t in range(trees)]
-            else:
-                node = batch.column("node").to_numpy().view(np.uint64)
-                paths = [(batch.column("tree").to_numpy(), node, ((mix(node + np.uint64(77)) + np.uint64(k)) % np.uint64(K)).astype(np.int64)) for k in range(REPEATS)]
-            for tree, path, at in paths:
-                value = sig[np.arange(len(cls)), at].astype(np.uint64)
-                new = mix(mix(path + np.uint64(0xABCDEF)) ^ mix(value + (at.astype(np.uint64) << np.uint64(32))))
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(new.view(np.int64)), pa.array(cls), label], schema=shape)
-
-    return members.mapInArrow(run, schema)
+            if n := batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+                for t in range(trees):
+                    node = _path(np.full(n, t, np.uint64), np.full(n, t % K), sig[:, t % K])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(node), batch.column("cls"), pa.nulls(n, pa.int64())], schema=shape)
+
+    return classes.select("cls", "sig").mapInArrow(run, schema)
+
+
+def children(members: DataFrame) -> DataFrame:
+    """(tree, node, cls, label) one level down, by each of the coordinates in ``ways``."""
+    schema = "tree int, node bigint, cls bigint, label bigint"
+    shape = arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+                ways = batch.column("ways")
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(ways.value_lengths()))
+                at = ways.flatten().to_numpy().astype(np.int64)
+                node = _path(batch.column("node").to_numpy().view(np.uint64)[row], at, sig[row, at])
+                take = lambda c, batch=batch, row=row: batch.column(c).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([take("tree"), pa.array(node), take("cls"), take("label")], schema=shape)
+
+    return members.select("tree", "node", "cls", "label", "sig", "ways").mapInArrow(run, schema)
 
 
 def agreement(threshold: float) -> int:
@@ -325,9 +377,9 @@ def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("node", "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, hashes, narrow) of the classes ``wanted`` (cls, doc_id), from the text of one of their documents each."""
-    schema = "cls bigint, hashes binary, narrow binary"
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, renames: int = 0) -> DataFrame:
+    """(cls, hashes, narrow) of the classes ``wanted`` (cls, twin, doc_id), from the text of one of their documents each."""
+    schema = "cls bigint, twin bigint, hashes binary, narrow binary"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,11 +388,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             own = [sets[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(np.diff(bounds)).tolist()]
             # The upper halves, in the same order: rising, with a repeat where two hashes share one.
             narrow = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, bounds)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(narrow, pa.binary())], schema=shape)
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, bounds)), pa.array(set_keys(sets, bounds, TWIN)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(narrow, pa.binary())], schema=shape)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     # A doc_id may have rows of other classes as well; the last join drops those.
-    return texts.mapInArrow(run, schema).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    found = renamed(texts.mapInArrow(run, schema), renames)
+    return found.join(wanted.select("cls", "twin"), ["cls", "twin"], "left_semi").dropDuplicates(["cls"]).drop("twin")
+
+
+def renamed(rows: DataFrame, times: int) -> DataFrame:
+    """Other names for classes, of cls and twin, if two sets shared one."""
+    return renamed(rows.withColumn("cls", F.when(F.col("cls").isNotNull(), F.xxhash64("cls", "twin"))), times - 1) if times else rows
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -371,21 +429,51 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return hubs.unionByName(others).repartition(parts(spark), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
-def _mixed() -> Column:
-    """Whether a node's members aren't all known to be of one family."""
-    return (F.count("label") < F.count(F.lit(1))) | (F.min("label") < F.max("label"))
-
-
 def _sized(scratch: Scratch, frontier: DataFrame, name: str) -> DataFrame:
-    """Members of nodes that have two or more, not all of one label, with the node's size and its hub, a member without a label if there is one."""
+    """Members of nodes that have two or more, not all of one label, with the node's size."""
     frontier = scratch.write(frontier, f"frontier-{name}")
-    first = F.min(F.struct(F.col("label").isNotNull(), "cls"))["cls"]
-    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first.alias("hub"), _mixed().alias("mixed"))
-    out = scratch.write(frontier.join(sizes.where("size > 1 and mixed").drop("mixed"), "node"), f"nodes-{name}")
+    mixed = (F.count("label") < F.count(F.lit(1))) | (F.min("label") < F.max("label"))
+    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"), mixed.alias("mixed")).where("size > 1 and mixed").drop("mixed")
+    out = scratch.write(frontier.join(sizes, "node"), f"nodes-{name}")
     scratch.drop(f"frontier-{name}")
     return out
 
 
+def ways(sig: np.ndarray, seed: int) -> list[int]:
+    """Coordinates by which a node branches, given values of some of its members."""
+    n = len(sig)
+    ranked = np.sort(sig, axis=0)
+    change = np.ones((n + 1, K), bool)
+    change[1:-1] = ranked[1:] != ranked[:-1]
+    chance = np.zeros(K)
+    for k in range(K):
+        size = np.diff(np.flatnonzero(change[:, k]))
+        chance[k] = (size * (size - 1)).sum() / max(1, n * (n - 1))
+    order = np.random.default_rng(seed).permutation(K)
+    order = order[np.argsort(chance[order] > 0.9, kind="stable")]  # those that nearly all agree on come last
+    if chance[order[LEAST_WAYS - 1]] > 0.9:
+        order = np.argsort(chance, kind="stable")
+    total = np.cumsum(chance[order])
+    return order[: min(WAYS, max(LEAST_WAYS, int(np.searchsorted(total, WORK)) + 1))].tolist()
+
+
+def _probe(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float, name: str) -> DataFrame:
+    """For each large node, from about PROBE members: (node, hub, ways). The hub is null if few are alike that aren't known to be."""
+    schema, least = "node bigint, hub bigint, ways array<int>", agreement(threshold)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls", ignore_index=True)
+        sig, n = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, K), pdf["n_shingles"].to_numpy()
+        label = np.where(pdf["label"].isna(), pdf["cls"], pdf["label"].fillna(0)).astype(np.int64)
+        new = (similar(sig, n, sig, n, threshold, least) & (label[:, None] != label[None])).sum(1)
+        hub = int(pdf["cls"][int(new.argmax())]) if new.max() >= max(1, 0.05 * len(pdf)) else None
+        node = int(pdf["node"][0])
+        return pd.DataFrame({"node": [node], "hub": pd.array([hub], "Int64"), "ways": [ways(sig, node & 0xFFFFFFFF)]})
+
+    some = large.where(F.pmod(F.xxhash64("node", "cls"), F.col("size")) < PROBE)
+    return scratch.write(some.join(facts, "cls").select("node", "cls", "label", "n_shingles", "sig").groupBy("node").applyInPandas(run, schema), f"probe-{name}")
+
+
 def _star(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float, name: str) -> DataFrame:
     """Candidates (node, a, b) among a large node's hub a and all others."""
     ends = large.select("node", F.col("hub").alias("a"), F.col("cls").alias("b")).where("a <> b")
@@ -394,28 +482,32 @@ def _star(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float
 
 
 def _labelled(scratch: Scratch, large: DataFrame, star: DataFrame, name: str) -> DataFrame:
-    """All members of large nodes but the hub, labelled anew by it if they joined it, where that leaves a node with more than one label."""
+    """All members of large nodes but the hub, labelled anew by it if they joined it, with the node's most frequent label (``known``), how
+    many have it (``most``), and how many don't (``others``). Nodes with one label are done."""
     joined = star.select("node", F.col("b").alias("cls"), F.col("a").alias("new"))
-    rest = large.where("cls <> hub").join(joined, ["node", "cls"], "left").select("tree", "node", "cls", F.coalesce("new", "label").alias("label"))
+    rest = large.where("hub is null or cls <> hub").join(joined, ["node", "cls"], "left").select("tree", "node", "cls", F.coalesce("new", "label").alias("label"), "ways")
     rest = scratch.write(rest, f"rest-{name}")
-    return rest.join(rest.groupBy("node").agg(_mixed().alias("mixed")).where("mixed").select("node"), "node", "left_semi")
+    return rest.join(_tops(rest).where("others > 0"), "node")
 
 
-def _cells(rows: DataFrame, leaf: int) -> DataFrame:
-    """Large groups (node, cls, label, more columns) as cells of two blocks each, so that all pairs of members meet in one, but for those
-    that both have the group's most frequent label: they are known to be of one family."""
+def _tops(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     tops = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("top"))
     most = F.coalesce(F.col("top.n"), F.lit(0))
-    blocks = lambda n: F.ceil(n / leaf).cast("int")
-    tops = tops.select("node", F.col("top.label").alias("known"), blocks(most).alias("n_known"), blocks(F.col("size") - most).alias("n_open"))
-    rows = rows.join(tops, "node").withColumn("is_known", F.coalesce(F.col("label") == F.col("known"), F.lit(False))).where("n_open > 0")
+    return tops.select("node", F.col("top.label").alias("known"), most.alias("most"), (F.col("size") - most).alias("others"))
+
+
+def _cells(rows: DataFrame, leaf: int) -> DataFrame:
+    """Groups (node, cls, label, known, most, others, more columns) as cells of two blocks each, so that all pairs of members meet in one,
+    but for those that both have the group's most frequent label: they are known to be of one family."""
+    blocks = lambda c: F.ceil(F.col(c) / leaf).cast("int")
+    rows = rows.where("others > 0").withColumns({"n_known": blocks("most"), "n_open": blocks("others"), "is_known": F.coalesce(F.col("label") == F.col("known"), F.lit(False))})
     place = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(F.col(n), F.lit(1))).cast("int")
     rows = rows.withColumn("block", F.when(F.col("is_known"), F.col("n_open") + place("n_known")).otherwise(place("n_open")))
     reach = F.col("n_open") - 1 + F.when(F.col("is_known"), 0).otherwise(F.col("n_known"))
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), reach)))
     each = each.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
-    return each.drop("known", "n_known", "n_open", "is_known", "block", "other", "label")
+    return each.drop("known", "most", "others", "n_known", "n_open", "is_known", "block", "other", "label")
 
 
 def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold: float, leaf: int, levels: int) -> DataFrame:
@@ -425,21 +517,24 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
     pairs = scratch.write(leaves(nodes), "leaves-0")
     level, large = 0, nodes.where(F.col("size") > leaf)
     while large.limit(1).count():
-        star = _star(scratch, large, facts, threshold, str(level))
+        large = large.join(_probe(scratch, large, facts, threshold, str(level)), "node")
+        star = _star(scratch, large.where("hub is not null"), facts, threshold, str(level))
         pairs = pairs.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rest = _labelled(scratch, large, star, str(level))
-        if level == levels:
-            pairs = pairs.unionByName(compare_leaves(lead(_cells(rest.select("node", "cls", "label"), leaf)), threshold))
-            break
+        last = F.lit(True) if level == levels else F.col("others") <= leaf
+        cells = _cells(rest.where(last).select("node", "cls", "label", "known", "most", "others"), leaf)
+        pairs = pairs.unionByName(scratch.write(compare_leaves(lead(cells), threshold), f"cells-{level}"))
         level += 1
-        below = _sized(scratch, children(rest.join(facts, "cls").select("tree", "node", "cls", "label", "sig"), TREES, first=False), str(level))
+        if level > levels:
+            break
+        below = _sized(scratch, children(rest.where(~last).join(facts, "cls")), str(level))
         pairs = pairs.unionByName(scratch.write(leaves(below), f"leaves-{level}"))
-        for done in ("nodes", "rest"):
+        for done in ("nodes", "rest", "probe"):
             scratch.drop(f"{done}-{level - 1}")
         large = below.where(F.col("size") > leaf)
     out = scratch.write(pairs.distinct(), "pairs")
     for k in range(level + 1):
-        for done in ("nodes", "rest", "star", "leaves"):
+        for done in ("nodes", "rest", "star", "leaves", "cells", "probe"):
             scratch.drop(f"{done}-{k}")
     return out
 
@@ -452,7 +547,7 @@ def _large_families(scratch: Scratch, facts: DataFrame, candidates: DataFrame, f
         known = scratch.write(confirm(candidates.join(giant.select(F.col("cls").alias("a")), "a", "left_semi"), sets, percent), "known")
         labels = components(scratch, known, "known-components").select(F.col("id").alias("cls"), F.col("component").alias("label"))
         whole = whole.unionByName(giant.select("node", "cls").join(labels, "cls", "left").select("node", "cls", "label"))
-    groups = _cells(whole, leaf)
+    groups = _cells(whole.join(_tops(whole), "node"), leaf)
     of = lambda c: groups.join(facts, "cls").join(sets.select("cls", F.col(c).alias("hashes")), "cls").select("node", "cls", "n_shingles", "sig", "hashes")
     pairs = scratch.write(compare_sets(of("narrow"), percent, wide=False, named=False), "large")
     links = scratch.write(confirm(pairs, sets, percent), "confirmed")
@@ -463,26 +558,34 @@ def _large_families(scratch: Scratch, facts: DataFrame, candidates: DataFrame, f
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept, class_id (rows with equal sets share it)."""
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept, class_id (rows with equal sets share it),
+    group_id (rows that links connect share it; unlike doc_ids it is unique to them) and text_hash (xxhash64 of the text)."""
     threshold, scratch = percent / 100, Scratch(docs.sparkSession, "minhash")
-    rows = scratch.write(signatures(docs, width), "rows")
-    some = rows.where("cls is not null and doc_id is not null")
-    classes = scratch.write(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig")), "classes")
+    rows, renames = scratch.write(signatures(docs, width), "rows"), 0
+    while True:
+        some = renamed(rows, renames).where("cls is not null and doc_id is not null")
+        first = [F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "sig", "twin")], (F.min("twin") < F.max("twin")).alias("shared")]
+        classes = scratch.write(some.groupBy("cls").agg(*first), f"classes-{renames}")
+        if not classes.where("shared").limit(1).count():
+            break
+        renames += 1  # two sets share a name
+    rows = renamed(rows, renames)
     facts = classes.select("cls", "n_shingles", "sig")
-    nodes = _sized(scratch, children(facts, trees, first=True), "0")
+    nodes = _sized(scratch, roots(facts, trees), "0")
     pairs = _candidates(scratch, facts, nodes, threshold, leaf, levels)
     members = components(scratch, pairs, "families").select(F.col("id").alias("cls"), F.col("component").alias("node"))
     members = scratch.write(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"), "members")
-    sets = scratch.write(full_sets(docs, classes.select("cls", "doc_id").join(members.select("cls"), "cls", "left_semi"), width), "sets")
+    sets = scratch.write(full_sets(docs, classes.select("cls", "twin", "doc_id").join(members.select("cls"), "cls", "left_semi"), width, renames), "sets")
     small = members.where(F.col("size") <= leaf).select("node", "cls")
     found = compare_sets(small.join(facts, "cls").join(sets.select("cls", "hashes"), "cls").select("node", "cls", "n_shingles", "sig", "hashes"), percent, wide=True, named=True)
     if (large := members.where(F.col("size") > leaf)).limit(1).count():
         found = found.unionByName(_large_families(scratch, facts, pairs, large, sets, percent, leaf))
     found = found.withColumnRenamed("id", "cls")
 
-    named = classes.select("cls", "doc_id").join(found, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.write(named.join(lowest, "component").select("cls", "component_id"), "named")
-    out = rows.drop("sig").join(named, "cls", "left")
+    named = classes.select("cls", "doc_id").join(found, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("group_id"))
+    lowest = named.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.write(named.join(lowest, "group_id").select("cls", "group_id", "component_id"), "named")
+    out = rows.drop("sig", "twin").join(named, "cls", "left")
     first = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", first.cast("bigint").alias("component_id"), F.coalesce(F.col("doc_id") == first, F.lit(True)).alias("kept"), F.col("cls").alias("class_id"))
+    group = F.when(F.col("doc_id").isNotNull(), F.col("group_id"))
+    return out.select("doc_id", "n_shingles", first.cast("bigint").alias("component_id"), F.coalesce(F.col("doc_id") == first, F.lit(True)).alias("kept"), F.col("cls").alias("class_id"), group.alias("group_id"), "text_hash")

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, byte_slices, parts
-from .minhash import mix, powers
+from .minhash import ODD, mix
 
 LENGTH, GRAM = 100, 20
 #: Strings in a shard of the index, about; segments under one gram from which they are dealt by content, and strings in each then.
@@ -38,6 +39,12 @@ SHARD, MANY, SHORT = 300_000, 1_000, 4
 BATCH = 50_000
 
 
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ODD and of its inverse, modulo 2^64."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64), dtype=np.uint64)]) for x in (ODD, pow(ODD, -1, 1 << 64)))
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     up, _ = powers(1 << max(20, len(data).bit_length()))
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])

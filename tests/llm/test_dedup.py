@@ -89,12 +89,12 @@ def parted(spark, rows, percent, **sizes):
 
 def test_minhash_joined_classes_stay(spark):
     """At 82 shared words of 100 (similarity 0.69) about half of all classes are candidates of a node's chosen two, and half aren't."""
-    assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16) == 0
+    assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16, levels=4) == 0
 
 
 def test_minhash_large_nodes_keep_recall(spark):
     """With few trees: a large node that branches by one coordinate loses several of these pairs."""
-    assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16, trees=3) == 0
+    assert parted(spark, sharing(400, 82, 0.91), 90, leaf=16, trees=3, levels=6) == 0
 
 
 def test_minhash_giant_families_lose_no_link(spark, monkeypatch):
@@ -106,6 +106,53 @@ def test_minhash_giant_families_lose_no_link(spark, monkeypatch):
     assert lost[0] == lost[1]
 
 
+def test_minhash_words_of_like_letters(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64 under every odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "x " + word), (4, word.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_words_in_windows(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abAé \t\n") for _ in range(r.randint(0, 90))) for _ in range(60)] + ["", "z" * 500, " " * 300, "q" * 70 + " " + "q" * 71]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    at, hashes = minhash.words(whole, offsets)
+    monkeypatch.setattr(minhash, "WINDOW", 37)
+    at2, hashes2 = minhash.words(whole, offsets)
+    assert (at == at2).all()
+    assert (hashes == hashes2).all()
+    names, k = {}, 0
+    for i, t in enumerate(texts):
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data[i]):
+            assert at[k] == offsets[i] + m.start()
+            assert names.setdefault(m[0].lower(), hashes[k]) == hashes[k]
+            k += 1
+    assert k == len(at)
+    assert len(set(names.values())) == len(names)
+
+
+def test_minhash_columns_of_any_name(spark):
+    names = ["a.b", "cls", "twin", "sig", "text_hash", "node", "n_shingles", "component", "group_id", "label"]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g")], "doc_id bigint, text string").withColumns({n: F.lit("x") for n in names})
+    assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_minhash_shared_names_are_renamed(spark):
+    rows = spark.createDataFrame([(5, 1), (5, 2), (5, 1), (None, None)], "cls bigint, twin bigint")
+    got = [r["cls"] for r in minhash.renamed(rows, 1).collect()]
+    assert got[0] == got[2] != got[1]
+    assert got[3] is None
+
+
+def test_minhash_boilerplate(spark):
+    """Texts that share 70 words of 100, with leaves of the size that the query uses."""
+    assert parted(spark, sharing(1200, 70, 0.86), 80) == 0
+
+
 def test_minhash_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (1, "other words that are not alike at all")]
     got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
