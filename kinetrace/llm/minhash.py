@@ -7,13 +7,13 @@ agree on all of them. Nodes of at most ``LEAF`` members are compared exhaustivel
 
 Of a larger node about ``PROBE`` members, picked by a hash, say what to do with it. If many of them are alike, one of those, the
 hub, is compared with all members, and what is similar to it is labelled by it: a label says of which family a class is known to be.
-Members with the node's most frequent label needn't meet one another. So a node with one label is done, and where at most LEAF
-members lack the most frequent one, these meet all others in blocks, which is linear in the node. Else all but the hub branch on, by
-coordinates taken at random: as many as share out the node (their chances that two members agree sum up to ``WORK`` at least), two
-at least and ``WAYS`` at most. The fewer members agree on a coordinate by chance, the more paths a pair thus gets, whatever the
-node's size. What is large still after ``LEVELS`` levels meets in blocks against blocks.
+Members with the node's most frequent label needn't meet one another. So a node with one label is done, and where at most ``FEW`` times
+LEAF members lack the most frequent one, these meet all others in blocks, which is linear in the node. Else all but the hub branch on, by
+coordinates taken at random: by two, and by a third if the chances that two members agree on them sum up to ``WORK`` at most. What is large
+still after ``LEVELS`` levels meets in blocks against blocks.
 
-Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates, of which
+Of minwise values 32 bits decide about nodes at the root; below it and in comparisons 8 bits do, which costs a few more
+comparisons. Pairs whose minwise values agree often enough (five standard deviations below the threshold still pass) are candidates, of which
 a spanning forest per node is kept; their components are families. No link leaves a family. A family of at most ``LEAF`` members
 is one task's work, which holds candidates' full sets against each other and names its components. In larger families blocks of
 members are held against blocks, on sets of 32-bit hashes; of what passes each pair of blocks gives a spanning forest, which is
@@ -42,7 +42,9 @@ from .common import Scratch, arrow, byte_slices, components, parts
 
 K, TREES, LEAF, LEVELS, BLOCK = 64, 10, 512, 16, 256
 #: Members of a large node by which it is judged; coordinates by which it branches, at least and at most; what their chances sum up to.
-PROBE, LEAST_WAYS, WAYS, WORK = 256, 2, 6, 1.2
+PROBE, LEAST_WAYS, WAYS, WORK = 256, 2, 3, 1.0
+#: Blocks of members without a node's most frequent label that meet all others at once.
+FEW = 4
 #: Blocks of a family that is compared without confirming its candidates first.
 BLOCKS = 16
 ODD = 0x9E3779B97F4A7C15
@@ -158,20 +160,21 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray, salt: int = 0x5851F42D4C957F2
 TWIN = 0x14057B7EF767814F
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, cls, twin, sig): cls and twin name the set; they and sig are null for an empty one."""
-    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, cls bigint, twin bigint, sig binary"
+def signatures(docs: DataFrame, width: int, trees: int = TREES) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, cls, twin, sig, root): cls and twin name the set; sig holds 8 bits of each minwise value, root all
+    of those that the trees' roots ask for. All four are null for an empty set."""
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, cls bigint, twin bigint, sig binary, root binary"
     shape = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in byte_slices(batches, most=1 << 20):
             sets, bounds = shingle_sets(data, offsets, width)
             full = np.diff(bounds) > 0
-            key, twin, sig = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64), [None] * len(full)
+            key, twin, sig, root = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64), [None] * len(full), [None] * len(full)
             key[full], twin[full] = set_keys(sets, bounds), set_keys(sets, bounds, TWIN)
             for i, row in zip(np.flatnonzero(full).tolist(), minwise(sets, bounds), strict=True):
-                sig[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(bounds)), pa.array(key, mask=~full), pa.array(twin, mask=~full), pa.array(sig, pa.binary())], schema=shape)
+                sig[i], root[i] = row.astype(np.uint8).tobytes(), row[np.arange(trees) % K].tobytes()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(bounds)), pa.array(key, mask=~full), pa.array(twin, mask=~full), pa.array(sig, pa.binary()), pa.array(root, pa.binary())], schema=shape)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -188,12 +191,12 @@ def roots(classes: DataFrame, trees: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if n := batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+                root = np.frombuffer(b"".join(batch.column("root").to_pylist()), np.uint32).reshape(n, trees)
                 for t in range(trees):
-                    node = _path(np.full(n, t, np.uint64), np.full(n, t % K), sig[:, t % K])
+                    node = _path(np.full(n, t, np.uint64), np.full(n, t % K), root[:, t])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(node), batch.column("cls"), pa.nulls(n, pa.int64())], schema=shape)
 
-    return classes.select("cls", "sig").mapInArrow(run, schema)
+    return classes.select("cls", "root").mapInArrow(run, schema)
 
 
 def children(members: DataFrame) -> DataFrame:
@@ -204,7 +207,7 @@ def children(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, K)
                 ways = batch.column("ways")
                 row = np.repeat(np.arange(batch.num_rows), np.asarray(ways.value_lengths()))
                 at = ways.flatten().to_numpy().astype(np.int64)
@@ -276,7 +279,7 @@ def runs(batches: Iterator[pa.RecordBatch], kind: type = np.uint32) -> Iterator[
         ends = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
         sizes = np.diff(ends)
         numbers = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sig", "hashes")}
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, K)
         hashes = table.column("hashes").to_pylist() if "hashes" in table.column_names else None
         for k in np.flatnonzero(sizes > 1).tolist():
             a, b = int(ends[k]), int(ends[k + 1])
@@ -321,7 +324,7 @@ def compare_leaves(leaves: DataFrame, threshold: float) -> DataFrame:
                 got.clear()
         yield _pairs(list(got), shape)
 
-    return by_node(leaves).mapInArrow(run, schema).distinct()
+    return by_node(leaves).mapInArrow(run, schema)
 
 
 def unite(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -369,7 +372,7 @@ def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = ((x == y).sum(1) >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("node", "a", "b")], schema=shape)
@@ -453,8 +456,8 @@ def ways(sig: np.ndarray, seed: int) -> list[int]:
     order = order[np.argsort(chance[order] > 0.9, kind="stable")]  # those that nearly all agree on come last
     if chance[order[LEAST_WAYS - 1]] > 0.9:
         order = np.argsort(chance, kind="stable")
-    total = np.cumsum(chance[order])
-    return order[: min(WAYS, max(LEAST_WAYS, int(np.searchsorted(total, WORK)) + 1))].tolist()
+    n = next((k for k in range(WAYS, LEAST_WAYS, -1) if chance[order[:k]].sum() <= WORK), LEAST_WAYS)
+    return order[:n].tolist()
 
 
 def _probe(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: float, name: str) -> DataFrame:
@@ -463,14 +466,15 @@ def _probe(scratch: Scratch, large: DataFrame, facts: DataFrame, threshold: floa
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls", ignore_index=True)
-        sig, n = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, K), pdf["n_shingles"].to_numpy()
+        sig, n = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, K), pdf["n_shingles"].to_numpy()
         label = np.where(pdf["label"].isna(), pdf["cls"], pdf["label"].fillna(0)).astype(np.int64)
         new = (similar(sig, n, sig, n, threshold, least) & (label[:, None] != label[None])).sum(1)
-        hub = int(pdf["cls"][int(new.argmax())]) if new.max() >= max(1, 0.05 * len(pdf)) else None
+        # Of those that are alike with nearly as many as any, the first: the same one in most nodes of a family, so links repeat.
+        hub = int(pdf["cls"][int((new >= 0.8 * new.max()).argmax())]) if new.max() >= max(1, 0.05 * len(pdf)) else None
         node = int(pdf["node"][0])
         return pd.DataFrame({"node": [node], "hub": pd.array([hub], "Int64"), "ways": [ways(sig, node & 0xFFFFFFFF)]})
 
-    some = large.where(F.pmod(F.xxhash64("node", "cls"), F.col("size")) < PROBE)
+    some = large.where(F.abs(F.xxhash64("cls") / F.lit(2.0**63)) * F.col("size") < PROBE)
     return scratch.write(some.join(facts, "cls").select("node", "cls", "label", "n_shingles", "sig").groupBy("node").applyInPandas(run, schema), f"probe-{name}")
 
 
@@ -514,27 +518,25 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
     """Candidate pairs (a, b) that span every family."""
     lead = lambda x: x.join(facts, "cls").select("node", "cls", "n_shingles", "sig")
     leaves = lambda x: compare_leaves(lead(x.where(F.col("size") <= leaf).select("node", "cls")), threshold)
-    pairs = scratch.write(leaves(nodes), "leaves-0")
+    pairs = leaves(nodes)
     level, large = 0, nodes.where(F.col("size") > leaf)
     while large.limit(1).count():
         large = large.join(_probe(scratch, large, facts, threshold, str(level)), "node")
         star = _star(scratch, large.where("hub is not null"), facts, threshold, str(level))
         pairs = pairs.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rest = _labelled(scratch, large, star, str(level))
-        last = F.lit(True) if level == levels else F.col("others") <= leaf
+        last = F.lit(True) if level == levels else F.col("others") <= FEW * leaf
         cells = _cells(rest.where(last).select("node", "cls", "label", "known", "most", "others"), leaf)
-        pairs = pairs.unionByName(scratch.write(compare_leaves(lead(cells), threshold), f"cells-{level}"))
+        pairs = pairs.unionByName(compare_leaves(lead(cells), threshold))
         level += 1
         if level > levels:
             break
         below = _sized(scratch, children(rest.where(~last).join(facts, "cls")), str(level))
-        pairs = pairs.unionByName(scratch.write(leaves(below), f"leaves-{level}"))
-        for done in ("nodes", "rest", "probe"):
-            scratch.drop(f"{done}-{level - 1}")
+        pairs = pairs.unionByName(leaves(below))
         large = below.where(F.col("size") > leaf)
     out = scratch.write(pairs.distinct(), "pairs")
     for k in range(level + 1):
-        for done in ("nodes", "rest", "star", "leaves", "cells", "probe"):
+        for done in ("nodes", "rest", "star", "probe"):
             scratch.drop(f"{done}-{k}")
     return out
 
@@ -561,21 +563,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept, class_id (rows with equal sets share it),
     group_id (rows that links connect share it; unlike doc_ids it is unique to them) and text_hash (xxhash64 of the text)."""
     threshold, scratch = percent / 100, Scratch(docs.sparkSession, "minhash")
-    rows, renames = scratch.write(signatures(docs, width), "rows"), 0
+    rows, renames = scratch.write(signatures(docs, width, trees), "rows"), 0
     while True:
         some = renamed(rows, renames).where("cls is not null and doc_id is not null")
-        first = [F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "sig", "twin")], (F.min("twin") < F.max("twin")).alias("shared")]
+        first = [F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "sig", "root", "twin")], (F.min("twin") < F.max("twin")).alias("shared")]
         classes = scratch.write(some.groupBy("cls").agg(*first), f"classes-{renames}")
         if not classes.where("shared").limit(1).count():
             break
         renames += 1  # two sets share a name
     rows = renamed(rows, renames)
     facts = classes.select("cls", "n_shingles", "sig")
-    nodes = _sized(scratch, roots(facts, trees), "0")
+    nodes = _sized(scratch, roots(classes, trees), "0")
     pairs = _candidates(scratch, facts, nodes, threshold, leaf, levels)
     members = components(scratch, pairs, "families").select(F.col("id").alias("cls"), F.col("component").alias("node"))
     members = scratch.write(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"), "members")
-    sets = scratch.write(full_sets(docs, classes.select("cls", "twin", "doc_id").join(members.select("cls"), "cls", "left_semi"), width, renames), "sets")
+    # Written first, so that its size is known when the join with the texts is planned: few of them don't ask for a shuffle of all texts.
+    wanted = scratch.write(classes.select("cls", "twin", "doc_id").join(members.select("cls"), "cls", "left_semi"), "wanted")
+    sets = scratch.write(full_sets(docs, wanted, width, renames), "sets")
     small = members.where(F.col("size") <= leaf).select("node", "cls")
     found = compare_sets(small.join(facts, "cls").join(sets.select("cls", "hashes"), "cls").select("node", "cls", "n_shingles", "sig", "hashes"), percent, wide=True, named=True)
     if (large := members.where(F.col("size") > leaf)).limit(1).count():
@@ -585,7 +589,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     named = classes.select("cls", "doc_id").join(found, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("group_id"))
     lowest = named.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
     named = scratch.write(named.join(lowest, "group_id").select("cls", "group_id", "component_id"), "named")
-    out = rows.drop("sig", "twin").join(named, "cls", "left")
+    out = rows.drop("sig", "root", "twin").join(named, "cls", "left")
     first = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     group = F.when(F.col("doc_id").isNotNull(), F.col("group_id"))
     return out.select("doc_id", "n_shingles", first.cast("bigint").alias("component_id"), F.coalesce(F.col("doc_id") == first, F.lit(True)).alias("kept"), F.col("cls").alias("class_id"), group.alias("group_id"), "text_hash")
