@@ -2,10 +2,16 @@
 
 All rules are parsed to one position automaton, made deterministic by subset construction over byte classes, minimised by
 partition refinement and laid out as a transition array. A batch of documents is cut into lanes at bytes that lead to the
-start state from every state, so lanes are independent; the array then steps all lanes at once, one byte each. Lanes that
-reach an accepting state (few) are resolved with the rules' own small automata, leftmost, longest and without overlaps.
-
-Nulls and empty texts have no spans. Texts of any length are scanned whole. Spans count code points, with the end excluded.
+start state from every state, so lanes are independent; the array then steps all lanes at once, one byte each, and the last few
+long ones by themselves. An accepting state says which rules match. Lanes that reach one (few) are read once more, backwards, by the
+combined automaton of the reversed rules, which marks the places where a match of each rule begins. From these, leftmost, longest
+and without overlaps, the rules' own automata find the ends. No rule's automaton goes on after a match's end without matching still, so
+all of it is linear in the text, whatever the text.
+
+Nulls and empty texts have no spans. Texts of any length are scanned whole; a worker holds about 12 bytes for each of a slice's own, and
+a slice is ``SLICE_BYTES`` or one text. Spans count code points, with the end excluded. Spans of different rules may overlap; they
+are ordered by start and, where starts tie, by rule. Repeated rows are scanned alike. An empty table gives an empty result. Extra columns
+don't matter, whatever their names; :func:`redact` carries them along.
 """
 
 from __future__ import annotations
@@ -20,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, byte_slices
+from .common import arrow, byte_slices, map_rows
 
 LANE = 512
+#: Lanes up to which each is stepped by itself.
+ALONE = 48
 
 
 @dataclass(frozen=True)
@@ -165,9 +173,23 @@ class Nfa:
         return frozenset(seen)
 
 
+    def reversed(self) -> Nfa:
+        """The same states with all moves the other way round."""
+        out = Nfa()
+        for _ in self.moves:
+            out.state()
+        for x, move in enumerate(self.moves):
+            for t in self.free[x]:
+                out.free[t].append(x)
+            if move:
+                out.free[move[1]].append(mid := out.state())
+                out.moves[mid] = (move[0], x)
+        return out
+
+
 @dataclass(frozen=True)
 class Dfa:
-    """``table[state, classes[byte]]``; state 0 is the start. ``accepts[state]``; ``dead``: a state that nothing leaves, or -1."""
+    """``table[state, classes[byte]]``; state 0 is the start. ``accepts[state]``: a bit for each end; ``dead``: a state that nothing leaves, or -1."""
 
     table: np.ndarray
     classes: np.ndarray
@@ -175,8 +197,8 @@ class Dfa:
     dead: int
 
 
-def determine(nfa: Nfa, starts: set[int], ends: set[int], search: bool) -> Dfa:
-    """Subset construction and minimisation. ``search``: a match may begin at any byte."""
+def determine(nfa: Nfa, starts: set[int], ends: dict[int, int], search: bool) -> Dfa:
+    """Subset construction and minimisation. ``ends``: states and their bits. ``search``: a match may begin at any byte."""
     kinds: dict[tuple[bool, ...], int] = {}
     sets = [m[0] for m in nfa.moves if m]
     classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.uint8)
@@ -195,8 +217,8 @@ def determine(nfa: Nfa, starts: set[int], ends: set[int], search: bool) -> Dfa:
                 row.append(known[t])
             rows.append(row)
     table = np.array(rows, np.int64)
-    accepts = np.array([bool(s & ends) for s in known])
-    block = accepts.astype(np.int64)
+    accepts = np.array([sum(1 << b for b in {ends[x] for x in s if x in ends}) for s in known], np.int64)
+    block = np.unique(accepts, return_inverse=True)[1].ravel()
     while True:  # refine until states of a block go to the same blocks
         key = np.column_stack([block, block[table]])
         _, new = np.unique(key, axis=0, return_inverse=True)
@@ -210,7 +232,7 @@ def determine(nfa: Nfa, starts: set[int], ends: set[int], search: bool) -> Dfa:
     block = np.array([order[int(b)] for b in block])
     keep = np.array([int(np.flatnonzero(block == k)[0]) for k in range(len(order))])
     table, accepts = block[table[keep]], accepts[keep]
-    stuck = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & ~accepts)
+    stuck = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & (accepts == 0))
     return Dfa(table.astype(np.int32), classes, accepts, int(stuck[0]) if len(stuck) and not search else -1)
 
 
@@ -218,33 +240,40 @@ class Scanner:
     """The combined automaton of ``rules`` and, for resolving, one automaton for each rule."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules, both = rules, Nfa()
-        starts, ends = set(), set()
-        for r in rules:
+        self.rules, both, whole = rules, Nfa(), Nfa()
+        starts, ends, begins, stops = set(), {}, {}, set()
+        for k, r in enumerate(rules):
             a, b, _ = both.add(r.detect or r.pattern, r.fold)
             starts.add(a)
-            ends.add(b)
+            ends[b] = k
+            a, b, _ = whole.add(r.pattern, r.fold)
+            begins[a] = k
+            stops.add(b)
         self.all = determine(both, starts, ends, search=True)
+        back = determine(whole.reversed(), stops, begins, search=True)
+        self.back, self.begins = back.table[:, back.classes].tolist(), back.accepts.tolist()
         own = []
         for r in rules:
             nfa = Nfa()
-            a, b, groups = nfa.add(r.pattern, r.fold)
-            d = determine(nfa, {a}, {b}, search=False)
-            step = d.table[:, d.classes].tolist()
-            first = bytes(x for x in range(256) if step[0][x] != d.dead)
-            own.append((r, step, d.accepts.tolist(), d.dead, frozenset(first)))
+            a, b, _ = nfa.add(r.pattern, r.fold)
+            d = determine(nfa, {a}, {b: 0}, search=False)
+            after = np.isin(d.table[d.accepts > 0], [d.dead, *np.flatnonzero(d.accepts)])
+            if not after.all():
+                raise ValueError(f"rule {r.kind}: after a match's end its automaton may go on without matching")
+            own.append((r, d.table[:, d.classes].tolist(), d.accepts.tolist(), d.dead))
         self.own = own
         t, k = self.all.table, self.all.table.shape[1]
         self.flat = np.ascontiguousarray((t * k).ravel().astype(np.int32))
-        self.hit = np.zeros(len(t) * k, bool)
-        self.hit[np.flatnonzero(self.all.accepts) * k] = True
+        self.hit = np.zeros(len(t) * k, np.int64)
+        self.hit[np.arange(len(t)) * k] = self.all.accepts
+        self.step, self.ends = t[:, self.all.classes].tolist(), self.all.accepts.tolist()
         self.resets = (t == 0).all(0)[self.all.classes]
 
-    def lanes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the pieces of documents in which some rule may match."""
+    def lanes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of documents in which some rule may match, and the bits of these rules."""
         n = len(data)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         resets = np.flatnonzero(self.resets[data]) + 1
         cut = resets[np.minimum(np.searchsorted(resets, np.arange(LANE, n, LANE)), len(resets) - 1)] if len(resets) else np.zeros(0, np.int64)
         starts = np.unique(np.concatenate([offsets[:-1], cut]))
@@ -252,50 +281,62 @@ class Scanner:
         ends = np.append(starts[1:], n)
         order = np.argsort(starts - ends, kind="stable")  # long lanes first: those that go on are a prefix
         at, length = starts[order], (ends - starts)[order]
-        state, hit = np.zeros(len(at), np.int32), np.zeros(len(at), bool)
+        state, hit = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
         classes, flat = self.all.classes, self.flat
-        codes = classes[data].astype(np.int32)
-        going = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
+        codes = classes[data]
+        longest = int(length[min(ALONE, len(length) - 1)]) if len(length) > ALONE else 0
+        going = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
         for j, k in enumerate(going.tolist()):
             s = flat[state[:k] + codes[at[:k] + j]]
             state[:k] = s
             hit[:k] |= self.hit[s]
-        found = np.sort(order[hit])
-        return starts[found], ends[found]
-
-    def resolve(self, text: bytes, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """(start, end, rule's place) of the matches that count between two places where no match is under way."""
+        step, ends_of, width = self.step, self.ends, self.all.table.shape[1]
+        for lane in np.flatnonzero(length > longest).tolist():
+            s, bits = int(state[lane]) // width, int(hit[lane])
+            for c in data[at[lane] + longest : at[lane] + length[lane]].tobytes():
+                s = step[s][c]
+                bits |= ends_of[s]
+            hit[lane] = bits
+        found = np.flatnonzero(hit)
+        found = found[np.argsort(order[found])]
+        return starts[order[found]], ends[order[found]], hit[found]
+
+    def resolve(self, text: bytes, bits: int) -> list[tuple[int, int, int]]:
+        """(start, end, rule's place) of the matches that count, of the rules in ``bits``, in a text at whose ends no match is under way."""
+        back, begins, state, marks = self.back, self.begins, 0, []
+        for i in range(len(text) - 1, -1, -1):
+            state = back[state][text[i]]
+            if begins[state] & bits:
+                marks.append((i, begins[state]))
+        marks.reverse()
         out = []
-        for k, (rule, step, accepts, dead, first) in enumerate(self.own):
-            i = lo
-            while i < hi:
-                if text[i] not in first:
-                    i += 1
+        for k, (rule, step, accepts, dead) in enumerate(self.own):
+            if not bits >> k & 1:
+                continue
+            done = 0
+            for i, at in marks:
+                if i < done or not at >> k & 1:
                     continue
-                state, j, last, begun = 0, i, -1, -1
-                while j < hi:
+                state, last, begun = 0, -1, -1
+                for j in range(i, len(text)):
                     state = step[state][text[j]]
                     if state == dead:
                         break
-                    j += 1
                     if accepts[state]:
-                        begun = j - 1 if begun < 0 else begun
-                        last = j
-                if last < 0:
-                    i += 1
-                    continue
+                        begun = j if begun < 0 else begun
+                        last = j + 1
                 if last - (begun if rule.tail else i) >= rule.least:
                     out.append((i, last, k))
-                i = last
+                done = last
         return out
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each document with matches its spans in code points, by start and then by rule."""
-        starts, ends = self.lanes(data, offsets)
+        starts, ends, bits = self.lanes(data, offsets)
         docs = np.searchsorted(offsets, starts, side="right") - 1
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            if got := self.resolve(data[a:b].tobytes(), 0, b - a):
+        for d, a, b, of in zip(docs.tolist(), starts.tolist(), ends.tolist(), bits.tolist(), strict=True):
+            if got := self.resolve(data[a:b].tobytes(), of):
                 base = offsets[d]
                 found.setdefault(d, []).extend((a - base + s, a - base + e, k) for s, e, k in got)
         out = {}
@@ -361,12 +402,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     ``n_chars``, if there is such a column, follows the text. Rows without spans are unchanged, and no row is dropped.
     """
     columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    shape = arrow(schema)
     shipped = docs.sparkSession.sparkContext.broadcast(scanner())  # compiled once; its size is that of the rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = shape
         for part, data, offsets in byte_slices(batches):
             spans = shipped.value.spans(data, offsets)
             text = part.column("text").to_pylist()
@@ -380,7 +418,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 text[i] = "".join(out) + t[at:]
                 if chars:
                     chars[i] = len(text[i])
-            new = {"text": pa.array(text, to.field("text").type)} | ({"n_chars": pa.array(chars, to.field("n_chars").type)} if chars else {})
-            yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in columns], schema=to)
+            new = {"text": pa.array(text, part.column("text").type)} | ({"n_chars": pa.array(chars, part.column("n_chars").type)} if chars else {})
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(k) for k, c in enumerate(columns)], names=columns)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)
