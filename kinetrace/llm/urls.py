@@ -3,8 +3,10 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest that fits decides. URLs without a
 rule are judged by naive Bayes over tokens: host labels split into words by a unigram model and Viterbi's algorithm, and the
 path's tokens. The word model is fitted by hard expectation-maximisation on all distinct host labels, in Spark; its vocabulary is the
-``VOCABULARY`` parts that occur in most labels, and as many whole labels. Naive Bayes is fitted on at most ``ROWS`` URLs that a rule
-decides, picked by a hash. These bound the broadcast model, whatever the table's size.
+parts that occur in most labels and the most frequent whole labels, at most ``VOCABULARY`` of each: those above a frequency that a
+histogram gives, so no task sends more than that to the driver. Words of more than ``LONGEST`` letters aren't looked for; longer names are split.
+Naive Bayes is fitted on about ``ROWS`` URLs that a rule decides, each taken if its hash falls below their share. These bound what is
+collected and the broadcast model, whatever the table's size.
 
 Null URLs and those without ``://`` have an empty host and path and are judged by the classes' shares. A tie, or no labelled URL
 at all, is ``allow``. Repeated URLs are judged alike. Extra columns don't matter; only ``url`` is read.
@@ -120,9 +122,9 @@ def learn_words(labels: DataFrame, rounds: int = ROUNDS) -> Words:
             for x in batch.column("label").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_within(x), pa.string())], schema=part)
 
-    top = lambda rows: {r[0]: r[1] for r in rows.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()}
     whole = weights.where((F.col("n") > 1) & (F.length("label") <= LONGEST)).select(F.col("label").alias("word"), F.col("n").alias("count"))
-    counts = top(weights.mapInArrow(cut, parts_of).groupBy("word").count().where("count >= 2")) | top(whole)
+    seen = scratch.write(weights.mapInArrow(cut, parts_of).groupBy("word").count().where("count >= 2"), "parts")
+    counts = _frequent(seen) | _frequent(whole)
     for _ in range(rounds):
         shipped = labels.sparkSession.sparkContext.broadcast(_costs(counts))
 
@@ -144,6 +146,20 @@ def learn_words(labels: DataFrame, rounds: int = ROUNDS) -> Words:
     return _costs(counts)
 
 
+def _frequent(words: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
+    """Words with their counts, from a table (word, count): all if there are at most ``most``, else those in the upper steps of a histogram by
+    the logarithm of counts."""
+    step = F.floor(F.log2("count") * 16)
+    steps = sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)  # 16 rows for each doubling
+    least, total = None, 0
+    for r in steps:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["step"]
+    return {} if least is None else {r["word"]: r["count"] for r in words.where(step >= least).collect()}
+
+
 def _costs(counts: dict[str, int]) -> Words:
     """A word costs its share's logarithm, and its letters in the lexicon, shared among its uses, so rare long ones don't win by themselves."""
     total = sum(counts.values()) or 1
@@ -185,12 +201,14 @@ def parsed(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
 
 
 def train(urls: DataFrame) -> Bayes:
-    """``urls`` as of :func:`parsed`. Labels count over all distinct hosts; naive Bayes takes the rows with the smallest hashes."""
+    """``urls`` as of :func:`parsed`. Labels count over all distinct hosts; naive Bayes takes a share of the rows by their hashes."""
     hosts = urls.where("host <> ''").select("host").distinct()
     labels = hosts.select(F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).where("label <> ''").groupBy("label").count()
-    rows = urls.where("decided is not null").select("host", "path", "decided", F.xxhash64("page_id", "host", "path").alias("h"))
-    rows = [(r[0], r[1], r[2]) for r in rows.orderBy("h", "host", "path").limit(ROWS).collect()]
-    return fit_bayes(rows, learn_words(labels))
+    rows = urls.where("decided is not null")
+    share = min(1.0, ROWS / max(1, rows.count()))
+    taken = F.abs(F.xxhash64("page_id", "host", "path") / F.lit(2.0**63)) < share if share < 1 else F.lit(True)
+    picked = rows.where(taken).select("host", "path", "decided").collect()  # about ROWS
+    return fit_bayes(sorted(map(tuple, picked)), learn_words(labels))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
