@@ -7,7 +7,9 @@ that cosine is below ``MOST`` and far below what the sample showed at the text's
 ``SLACK`` times the smallest.
 
 The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows, spread evenly over languages and picked by a hash
-of their id. Its size doesn't depend on the corpus. Prediction is a map over whole texts.
+of their id. Of more than ``LANGUAGES`` values of lang the most frequent are learned. So its size doesn't depend on the corpus.
+Prediction is a map over whole texts. A text's counts are summed up in windows of ``WINDOW`` bytes, so a long text takes no more memory
+than its own bytes.
 
 Null text, or text without a letter: ``und``, score 0, rejected. A text with letters always gets a learned language, however far
 it lies. Without any labelled row nothing can be learned: all are ``und``, and only texts without letters are rejected. Ties go to the language first in order. Repeated rows
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, byte_slices
+from .common import arrow, byte_slices, map_rows
 
 WIDTH, SAMPLE, CLUSTERS, SLACK, MOST = 4096, 4000, 6, 0.6, 0.3
-UND, BLOCK, SLICE = "und", 128, 1 << 19
+LANGUAGES = 1000
+UND, BLOCK, SLICE, WINDOW = "und", 128, 1 << 19, 1 << 20
 
 
 def _folding() -> np.ndarray:
@@ -46,16 +49,37 @@ def _counted(places: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(places, minlength=n).astype(np.int32)
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    x = FOLD[data]
+    if len(x) > 1:  # capital letters of the Latin-1 block, as UTF-8
+        big = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
+        x[big] += 0x20
+    return x
+
+
+def _long(data: np.ndarray) -> np.ndarray:
+    """:func:`features` of one text, summed up over windows."""
+    y = np.concatenate([[32], _folded(data), [32]]).astype(np.uint8)
+    y = y[np.concatenate([[True], (y[1:] != 32) | (y[:-1] != 32)])]
+    out = np.zeros(WIDTH, np.int64)
+    for a in range(0, len(y), WINDOW):
+        z = y[a : a + WINDOW + 2].astype(np.uint32)
+        two = (z[:-1] << 8) | z[1:]
+        out += np.bincount((two[:WINDOW] * np.uint32(0x9E3779B1)) >> np.uint32(22), minlength=WIDTH)
+        if len(z) > 2:
+            out += np.bincount(1024 + (((two[:-1] << 8 | z[2:])[:WINDOW] * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % (WIDTH - 1024), minlength=WIDTH)
+    return out[None]
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of hashed n-grams, a row per text. Blocks of texts bound the memory beside the result."""
     n = len(offsets) - 1
     if n > BLOCK:
         cuts = range(0, n, BLOCK)
         return np.concatenate([features(data[offsets[i] : offsets[min(n, i + BLOCK)]], offsets[i : i + BLOCK + 1] - offsets[i]) for i in cuts])
-    x = FOLD[data]
-    if len(x) > 1:  # capital letters of the Latin-1 block, as UTF-8
-        big = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
-        x[big] += 0x20
+    if n == 1 and len(data) > WINDOW:
+        return _long(data)
+    x = _folded(data)
     # Texts are parted by a blank on either side, so no n-gram spans two of them.
     size = np.diff(offsets) + 2
     begin = np.cumsum(size) - size
@@ -141,12 +165,13 @@ def has_letter(text: str | None) -> bool:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits on rows with text and lang; which of them is a matter of their doc_id's hash."""
     labelled = labelled.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return None
     each = max(1, sample // len(sizes))
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, each / n))])
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in sizes], "lang string, share double")
+    picked = labelled.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang")  # LANGUAGES rows at most
+    picked = picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     schema = "lang string, places binary, counts binary"
     shape = arrow(schema)
 
@@ -155,12 +180,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
         for part, data, offsets in byte_slices(batches, most=SLICE):
             rows = features(data, offsets)
             at = [np.flatnonzero(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([np.minimum(r[a], 65535).astype("<u2").tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], schema=to)
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<u4").tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], schema=to)
 
     got = sorted(map(tuple, picked.select("lang", "text").mapInArrow(run, schema).collect()))  # bounded by ``sample``
     counts = np.zeros((len(got), WIDTH), np.int64)
     for row, (_, a, c) in zip(counts, got, strict=True):
-        row[np.frombuffer(bytes(a), "<u2")] = np.frombuffer(bytes(c), "<u2")
+        row[np.frombuffer(bytes(a), "<u2")] = np.frombuffer(bytes(c), "<u4")
     return fit(counts, [g[0] for g in got])
 
 
@@ -202,4 +227,4 @@ def kept(docs: DataFrame, model: Model | None) -> DataFrame:
                 keep &= ~m.predict(features(data, offsets))[2]
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
