@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -58,6 +58,32 @@ class Scratch:
             pass
 
 
+class Folder(Scratch):
+    """Tables at a path of the user's. They stay."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.root = spark, path.rstrip("/")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs.mapInArrow(run)`` with the same columns, whatever their names."""
+    names, places = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*places)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=places)
+
+    return plain.mapInArrow(inside, plain.schema).toDF(*names)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into slices of about ``most`` bytes in ``column``: the slice, its UTF-8 bytes, and n + 1 offsets. Null counts as empty."""
     for batch in batches:

@@ -1,7 +1,7 @@
 """Token-id archive with a canonical, length-limited Huffman code.
 
-Ids are counted over all documents; package-merge gives code lengths of at most ``LIMIT`` bits, and lengths alone fix the
-canonical code. Documents are range-partitioned by id, and each partition writes segments: a header, the documents' ids and
+Ids are counted over all documents; package-merge gives code lengths of at most ``LIMIT`` bits (or what a larger vocabulary needs), and
+lengths alone fix the canonical code. Documents are range-partitioned by id, and each partition writes segments: a header, the documents' ids and
 numbers of tokens, the bit offset of every block of ``BLOCK`` ids, and the code bits. Blocks decode on their own, by a table over
 the next ``LIMIT`` bits, so a segment's blocks are decoded in step with one another.
 
@@ -9,8 +9,12 @@ A segment is one row of a Parquet table, because Spark's writers reach every sto
 ``KTH1``, uint32 documents, uint64 ids, uint32 blocks; int64 doc_id each; uint32 tokens each; uint64 bit offset each; code words
 as big-endian uint32. The table ``code`` holds one length per id.
 
-Null text counts as empty: the end id alone. Null ids come first. Repeated ids are kept, in an order fixed by their contents. An
-empty table gives an archive without segments.
+Null text counts as empty: the end id alone. Null ids come first. Repeated ids are kept, in order of their numbers of tokens and then
+of a hash of their contents, and don't meet in one range if there are many. An empty table gives an archive without segments. Extra
+columns don't matter, whatever their names. A text of any length is encoded whole, in one worker's memory.
+
+An archive is written below a :class:`~.common.Scratch`, which goes with the session, or a :class:`~.common.Folder`, which stays for
+later readers.
 """
 
 from __future__ import annotations
@@ -38,8 +42,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if len(ids) < 2:
         out[ids] = 1
         return out
-    if len(ids) > 1 << limit:
-        raise ValueError(f"{len(ids)} ids don't fit codes of {limit} bits")
+    limit = max(limit, (len(ids) - 1).bit_length())
     order = ids[np.argsort(counts[ids], kind="stable")]
     weight = counts[order].astype(np.int64)
     n, levels, now = len(order), [], weight
@@ -184,10 +187,11 @@ def write_archive(scratch: Scratch, docs: DataFrame, end_id: int = 1, path: str
                 yield from flush()
         yield from flush()
 
-    ids = table.where("kind = 'ids'").select("doc_id", "n", "ids")
+    order = [F.col("doc_id").asc_nulls_first(), "n", "h"]
+    ids = table.where("kind = 'ids'").select("doc_id", "n", F.xxhash64("ids").alias("h"), "ids")
     total = int(counts.sum())
-    ranged = ids.repartitionByRange(max(1, min(-(-total // PARTITION_IDS) * 4, 100_000)), F.col("doc_id").asc_nulls_first())
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids").mapInArrow(run, schema).write.option("compression", "none").parquet(scratch.path("segments"))
+    ranged = ids.repartitionByRange(max(1, min(-(-total // PARTITION_IDS) * 4, 100_000)), *order)
+    ranged.sortWithinPartitions(*order, "ids").select("doc_id", "n", "ids").mapInArrow(run, schema).write.option("compression", "none").parquet(scratch.path("segments"))
     scratch.drop("tokens")
 
 

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 END = "\r\n"
+#: Every record must have a date; pages have none of their own.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def _header(kind: Column) -> Column:
+def _header(kind: Column, date: str) -> Column:
     """The header block of a record, without its payload."""
     length = F.when(kind == "response", F.col("n")).otherwise(F.lit(0))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
@@ -32,16 +34,19 @@ def _header(kind: Column) -> Column:
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("X-Payload-Length", F.col("n").cast("string")),
         F.when(kind == "revisit", F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
+        line("Content-Type", F.lit("text/html")),
         line("Content-Length", length.cast("string")),
         F.lit(END),
     ).cast("binary")
 
 
-def write_archive(scratch: Scratch, pages: DataFrame, least: int = 1000) -> None:
+def write_archive(scratch: Scratch, pages: DataFrame, least: int = 1000, date: str = DATE) -> None:
+    """Writes the tables ``payloads`` and ``headers`` below ``scratch``, or a :class:`~.common.Folder` that stays. ``date``: of the capture."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", body.alias("payload")).select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("key"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("n"))
     keyed = scratch.write(keyed, "keyed")
@@ -50,7 +55,7 @@ def write_archive(scratch: Scratch, pages: DataFrame, least: int = 1000) -> None
     revisit = (F.col("n") >= least) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     records = keyed.select("page_id", "url", "key").join(owners, "key").withColumn("kind", kind)
-    records.select("page_id", "key", _header(F.col("kind")).alias("header")).write.option("compression", "zstd").parquet(scratch.path("headers"))
+    records.select("page_id", "key", _header(F.col("kind"), date).alias("header")).write.option("compression", "zstd").parquet(scratch.path("headers"))
     # The bytes themselves: from the row that owns them, found by (page_id, key), so payloads are shuffled once and no group is large.
     whole = pages.select("page_id", body.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     own = owners.select(F.col("key").alias("own_key"), "owner")
