@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 WIDTH, SHARE, HITS = 5, 0.8, 4
 
@@ -78,6 +78,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 def without(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Rows of ``docs`` that no item contaminates, with all their columns."""
-    bad = contaminated(docs, benchmark, share).select(F.col("doc_key").alias("bad_doc_key")).distinct()
-    key = F.xxhash64("doc_id", "text")
-    return docs.join(bad, key == F.col("bad_doc_key"), "left_anti")
+    name = unused("bad_doc_key", docs.columns)
+    bad = contaminated(docs, benchmark, share).select(F.col("doc_key").alias(name)).distinct()
+    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col(name), "left_anti")

@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinetrace.llm import queries as corpus
@@ -35,3 +36,34 @@ def test_pipeline(spark):
             now = out
     packed = corpus_pipeline.run(spark, DATA)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in now.select("doc_id").collect()}
+
+
+NAMES = ["a.b", "bad_doc_key", "gone_id", "gone_hash", "row", "found", "cls", "length", "score", "item_id"]
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_with_odd_rows(spark, stage):
+    words = " ".join(f"the cat sat on mat {i}" for i in range(40))
+    rows = [(1, words), (1, words), (1, "some other text with the same id as the one before it"), (2, words), (None, "a text without an id, of a dozen words or so, in English"), (None, None), (3, None), (4, ""), (5, "token=abcdefghijklmnop for the cat"), (6, words * 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "cast('en' as string) lang", "cast('web' as string) source", "cast(length(text) as bigint) n_chars")
+    docs = docs.withColumns({n: F.lit(n) for n in NAMES})
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, DATA)
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:30] if "text" in out.columns else "") for r in out.collect())
+    if name != "best_fit_packing":
+        assert out.columns == docs.columns
+    want = sorted((str(d), (t or "")[:30]) for d, t in rows)
+    if name == "minhash_dedup":
+        want.remove(("1", words[:30]))
+        want.remove(("2", words[:30]))
+        want.remove(("6", words[:30]))  # repeats of one text have nearly its shingles
+    if name == "secret_scans":
+        want[want.index(("5", "token=abcdefghijklmnop for the"))] = ("5", "[secret] for the cat")
+    if name == "language_id":
+        assert {d for d, _ in got} <= {"1", "2", "5", "6", "None"}
+    elif name == "best_fit_packing":
+        assert {d for d, _ in got} == {"1", "2", "3", "4", "5", "6", "None"}
+        assert len([d for d, _ in got if d == "1"]) == 3
+    else:
+        assert got == sorted(want)
+    assert run(spark, docs.limit(0), DATA).count() == 0

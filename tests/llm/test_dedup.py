@@ -253,6 +253,12 @@ def test_embeddings(spark):
     assert hnsw.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size(spark):
+    rows = [(1, [1e200, 1.0]), (2, [2e200, 1.0]), (3, [1e-200, 0.0]), (4, [1e-200, 1e-203]), (5, [1.0, 0.0]), (6, [0.0, -1e308]), (7, [0.0, -5e-324])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), least_shards=2).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (1, 6), 7: (1, 6)}
+
+
 def test_graph_recall():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 32))

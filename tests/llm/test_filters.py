@@ -1,12 +1,15 @@
+import itertools
 import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.llm import decontaminate, langid, urls, warc
-from kinetrace.llm.common import Scratch
+from kinetrace.llm.common import Folder, Scratch
 
 EN, DE = "the quick brown fox jumps over the lazy dog and then the cat", "der schnelle braune Fuchs springt über den faulen Hund und die Katze"
 
@@ -35,6 +38,50 @@ def test_language_held_out_accuracy(spark):
     assert out.where("lang = lang_pred and not rejected").count() == out.count() > 20
 
 
+def brute_grams(text):
+    """Counts of hashed n-grams by their definition, one by one."""
+    b, out = text.encode(), []
+    for i, c in enumerate(b):
+        if c < 128:
+            out.append(c | 32 if chr(c).isalpha() else 32)
+        else:
+            out.append(c + 32 if i and b[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97 else c)
+    y = bytes([32, *out, 32])
+    y = re.sub(rb"\x20+", b" ", y)
+    counts = np.zeros(langid.WIDTH, int)
+    for i in range(len(y) - 1):
+        counts[((y[i] << 8 | y[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 22] += 1
+        if i < len(y) - 2:
+            counts[1024 + (((y[i] << 16 | y[i + 1] << 8 | y[i + 2]) * 0x85EBCA6B & 0xFFFFFFFF) >> 16) % (langid.WIDTH - 1024)] += 1
+    return counts
+
+
+def test_language_features_and_centroids_by_brute_force(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abÉß ,.Öx×") for _ in range(r.randint(0, 60))) for _ in range(40)] + ["", "  ", "q"]
+    want = np.array([brute_grams(t) for t in texts])
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    assert (langid.features(np.frombuffer(b"".join(data), np.uint8), offsets) == want).all()
+    monkeypatch.setattr(langid, "WINDOW", 7)
+    for d, w in zip(data, want, strict=True):
+        assert (langid.features(np.frombuffer(d, np.uint8), np.array([0, len(d)])) == w).all()
+    model = langid.fit(want, [f"l{i % 3}" for i in range(len(texts))], clusters=2)
+    at, score, _ = model.predict(want)
+    for i, c in enumerate(want):
+        x = np.log1p(c) * model.idf
+        best = max((float(x @ m) / (np.linalg.norm(x) or 1), -k) for k, m in enumerate(model.centroids.astype(float)))
+        assert score[i] == pytest.approx(min(max(best[0], 0), 1), abs=1e-5)
+        own = max(float(x @ m) for m, k in zip(model.centroids, model.of, strict=True) if k == at[i])
+        assert own == pytest.approx(best[0] * (np.linalg.norm(x) or 1), abs=1e-3)
+
+
+def test_few_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    more = labelled(spark).unionByName(spark.createDataFrame([(900, "zz yy", "zz")], "doc_id bigint, text string, lang string"))
+    assert langid.train(more).languages == ("de", "en")
+
+
 def test_language_without_labels(spark):
     docs = labelled(spark).withColumn("lang", F.lit(None).cast("string"))
     assert langid.train(docs) is None
@@ -81,6 +128,52 @@ def test_segmentation_and_bayes():
     assert model.weights["red"] == pytest.approx(weight)
 
 
+def test_viterbi_by_brute_force():
+    r = random.Random(5)
+    for _ in range(40):
+        parts = {"".join(r.choice("ab") for _ in range(r.randint(1, 3))): r.uniform(0.5, 6) for _ in range(5)}
+        words, name = urls.Words(parts, 7.0), "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+        cost = lambda split: sum(parts.get(w, 7.0 * len(w)) for w in split)
+        splits = []
+        for cuts in itertools.product([False, True], repeat=len(name) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
+            splits.append([name[a:b] for a, b in itertools.pairwise(at)])
+        assert "".join(words.split(name)) == name
+        assert cost(words.split(name)) == pytest.approx(min(map(cost, splits)))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Multinomial naive Bayes written out, over the segmented tokens."""
+    r = random.Random(7)
+    rows = [(f"http://{r.choice(['red', 'blue'])}{r.choice(['car', 'bus'])}.{t}/{p}/{r.randint(0, 9)}", i) for i, (t, p) in enumerate(r.choices([("org", "a"), ("com", "de"), ("com", "fr"), ("net", "de"), ("net", "a"), ("io", "fr")], k=300))]
+    rows += rows[:3] + [(None, 900)]
+    pages = spark.createDataFrame(rows, "url string, page_id bigint")
+    got = urls.judge(pages).collect()
+    split = {r["host"]: r["words"].split() for r in got}
+    tokens = lambda r: split[r["host"]] + ["/" + t for t in re.findall(r"[^\W_]+", r["path"].lower())]
+    labels, counts = Counter(), {"allow": Counter(), "block": Counter()}
+    for x in got:
+        if x["rule"]:
+            labels[x["verdict"]] += 1
+            counts[x["verdict"]].update(tokens(x))
+    seen = set(counts["allow"]) | set(counts["block"])
+    for x in got:
+        score = math.log((labels["block"] + 1) / (labels["allow"] + 1))
+        for t in tokens(x):
+            if t in seen:
+                score += math.log((counts["block"][t] + 1) / (sum(counts["block"].values()) + len(seen))) - math.log((counts["allow"][t] + 1) / (sum(counts["allow"].values()) + len(seen)))
+        assert x["score"] == pytest.approx(score)
+        assert x["rule"] or x["verdict"] == ("block" if score > 0 else "allow")
+
+
+def test_frequent_words_are_bounded(spark):
+    words = spark.createDataFrame([(f"w{i}", 1000 // (i + 1)) for i in range(200)], "word string, count bigint")
+    assert len(urls._frequent(words, 500)) == 200
+    few = urls._frequent(words, 50)
+    assert 30 < len(few) <= 50
+    assert min(few.values()) > max(1000 // (i + 1) for i in range(200) if f"w{i}" not in few)
+
+
 def test_words_of_all_labels_are_learned(spark):
     labels = {f"{a}{b}": 1 for a in ("red", "blue", "internationalization") for b in ("car", "bus", "boat")} | {"com": 9, "red": 1, "car": 1}
     table = spark.createDataFrame(list(labels.items()), "label string, count bigint")
@@ -115,6 +208,18 @@ def test_warc(spark):
     assert warc.archive_report(empty).count() == 0
 
 
+def test_warc_at_a_path_and_odd_rows(spark, tmp_path):
+    rows = [(1, "http://a", "q" * 2000), (1, "http://a", "q" * 2000), (None, "http://b", "q" * 2000), (None, None, "r" * 2000), (2, "http://c", "q" * 2000)]
+    folder = Folder(spark, f"file://{tmp_path}/archive")
+    warc.write_archive(folder, spark.createDataFrame(rows, "page_id bigint, url string, html string"), date="2024-05-01T00:00:00Z")
+    later = Folder(spark, f"file://{tmp_path}/archive")
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.archive_report(later).collect())
+    assert got == [("1", "revisit", 2), ("1", "revisit", 2), ("2", "response", None), ("None", "response", None), ("None", "revisit", 2)]
+    for r in warc.reconstruct(later).collect():
+        assert b"WARC-Date: 2024-05-01T00:00:00Z\r\n" in bytes(r["record"])
+        assert b"Content-Type: " in bytes(r["record"])
+
+
 def shingle_set(text):
     w = re.findall(r"[^\W_]+", (text or "").lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -142,3 +247,11 @@ def test_decontamination(spark):
     assert kept == {i for i, _ in docs} - {i for i, _, _ in want}
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_decontamination_columns_of_any_name(spark):
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "clean text")], "doc_id bigint, text string").withColumns({n: F.lit(0) for n in ("bad_doc_key", "doc_key", "a.b", "h", "w", "item_key")})
+    left = decontaminate.without(docs, items)
+    assert left.columns == docs.columns
+    assert [r["doc_id"] for r in left.collect()] == [2]

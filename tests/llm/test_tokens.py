@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.llm import huffman, packing
-from kinetrace.llm.common import Scratch
+from kinetrace.llm.common import Folder, Scratch
 from kinetrace.llm.tokens import crc32, encoder, vocabulary
 
 TEXTS = ["", None, "it's '''ll d'x _a_ <|endoftext|> x", "İstanbul ΣΑΣ é  x\x85y \x1cz", "don't!'s __x__ 1234 ½ ² ª", "日本語 テスト", "Éà ŉ ĳ Ÿ ſ", "the cat sat on the mat. " * 900, "word", "word"]
@@ -60,6 +60,24 @@ def test_empty_archive(spark):
     assert huffman.read_archive(spark, scratch).count() == 0
 
 
+def test_archive_of_odd_rows_at_a_path(spark, tmp_path):
+    rows = [(3, "b a"), (None, "x"), (3, "a"), (None, None), (1, "c"), (3, "a")]
+    huffman.write_archive(Folder(spark, f"file://{tmp_path}/ids"), spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"kind": F.lit("k"), "a.b": F.lit(1)}))
+    got = huffman.read_archive(spark, Folder(spark, f"file://{tmp_path}/ids")).collect()
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 1, 3, 3, 3]
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(d), library(t)) for d, t in rows)
+    start = 0
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+
+
+def test_codes_of_large_vocabularies():
+    lengths = huffman.code_lengths(np.ones((1 << 5) + 1, np.int64), 5)
+    assert lengths.max() == 6
+
+
 def test_packing(spark):
     r = random.Random(1)
     texts = TEXTS + [" ".join(r.choice(["alpha", "beta", "of", "x"]) for _ in range(r.randint(1, 700))) for _ in range(300)]
