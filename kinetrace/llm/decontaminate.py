@@ -79,5 +79,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 def without(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Rows of ``docs`` that no item contaminates, with all their columns."""
     name = unused("bad_doc_key", docs.columns)
-    bad = contaminated(docs, benchmark, share).select(F.col("doc_key").alias(name)).distinct()
+    # Written first, so that its size is known when the join is planned: a short list doesn't ask for a shuffle of all texts.
+    bad = Scratch(docs.sparkSession, "decontaminated").write(contaminated(docs, benchmark, share).select(F.col("doc_key").alias(name)).distinct(), "bad")
     return docs.join(bad, F.xxhash64("doc_id", "text") == F.col(name), "left_anti")

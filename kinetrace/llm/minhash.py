@@ -381,7 +381,10 @@ def compare_rows(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, renames: int = 0) -> DataFrame:
-    """(cls, hashes, narrow) of the classes ``wanted`` (cls, twin, doc_id), from the text of one of their documents each."""
+    """Rows of ``wanted`` (cls, twin, doc_id, more columns) with hashes and narrow, from the text of one of a class's documents each.
+
+    Rows repeat where rows of documents do.
+    """
     schema = "cls bigint, twin bigint, hashes binary, narrow binary"
     shape = arrow(schema)
 
@@ -395,8 +398,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, renames: int = 0)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     # A doc_id may have rows of other classes as well; the last join drops those.
-    found = renamed(texts.mapInArrow(run, schema), renames)
-    return found.join(wanted.select("cls", "twin"), ["cls", "twin"], "left_semi").dropDuplicates(["cls"]).drop("twin")
+    return renamed(texts.mapInArrow(run, schema), renames).join(wanted.drop("doc_id"), ["cls", "twin"]).drop("twin")
 
 
 def renamed(rows: DataFrame, times: int) -> DataFrame:
@@ -520,9 +522,12 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
     leaves = lambda x: compare_leaves(lead(x.where(F.col("size") <= leaf).select("node", "cls")), threshold)
     pairs = leaves(nodes)
     level, large = 0, nodes.where(F.col("size") > leaf)
+    if large.limit(1).count():  # all further levels need only these
+        some = scratch.write(facts.join(large.select("cls").distinct(), "cls", "left_semi"), "facts")
+        lead = lambda x: x.join(some, "cls").select("node", "cls", "n_shingles", "sig")
     while large.limit(1).count():
-        large = large.join(_probe(scratch, large, facts, threshold, str(level)), "node")
-        star = _star(scratch, large.where("hub is not null"), facts, threshold, str(level))
+        large = large.join(_probe(scratch, large, some, threshold, str(level)), "node")
+        star = _star(scratch, large.where("hub is not null"), some, threshold, str(level))
         pairs = pairs.unionByName(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rest = _labelled(scratch, large, star, str(level))
         last = F.lit(True) if level == levels else F.col("others") <= FEW * leaf
@@ -531,7 +536,7 @@ def _candidates(scratch: Scratch, facts: DataFrame, nodes: DataFrame, threshold:
         level += 1
         if level > levels:
             break
-        below = _sized(scratch, children(rest.where(~last).join(facts, "cls")), str(level))
+        below = _sized(scratch, children(rest.where(~last).join(some, "cls")), str(level))
         pairs = pairs.unionByName(leaves(below))
         large = below.where(F.col("size") > leaf)
     out = scratch.write(pairs.distinct(), "pairs")
@@ -578,10 +583,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     members = components(scratch, pairs, "families").select(F.col("id").alias("cls"), F.col("component").alias("node"))
     members = scratch.write(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"), "members")
     # Written first, so that its size is known when the join with the texts is planned: few of them don't ask for a shuffle of all texts.
-    wanted = scratch.write(classes.select("cls", "twin", "doc_id").join(members.select("cls"), "cls", "left_semi"), "wanted")
+    wanted = scratch.write(classes.select("cls", "twin", "doc_id", "n_shingles", "sig").join(members, "cls"), "wanted")
     sets = scratch.write(full_sets(docs, wanted, width, renames), "sets")
-    small = members.where(F.col("size") <= leaf).select("node", "cls")
-    found = compare_sets(small.join(facts, "cls").join(sets.select("cls", "hashes"), "cls").select("node", "cls", "n_shingles", "sig", "hashes"), percent, wide=True, named=True)
+    if sets.count() > wanted.count():
+        sets = scratch.write(sets.dropDuplicates(["cls"]), "sets-once")
+    small = sets.where(F.col("size") <= leaf).select("node", "cls", "n_shingles", "sig", "hashes")
+    found = compare_sets(small, percent, wide=True, named=True)
     if (large := members.where(F.col("size") > leaf)).limit(1).count():
         found = found.unionByName(_large_families(scratch, facts, pairs, large, sets, percent, leaf))
     found = found.withColumnRenamed("id", "cls")
