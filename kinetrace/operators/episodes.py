@@ -44,22 +44,44 @@ def stacked(chunked: DataFrame, keys: list[str], order: str, columns: list[str])
 def shuffled_batches(samples: DataFrame, id_cols: list[str], size: int, train: bool = True, seed: int = 0) -> DataFrame:
     """``samples`` with batch and place. In training the order is that of a hash, else that of the ids.
 
-    Ranges of the order are numbered by their own and then shifted by the sizes of those before, so no task sees all rows.
+    Rows fall into buckets by the order's own bits (in training) or by bounds taken once (else). Buckets are numbered by their own
+    and then shifted by the sizes of those before, so no task sees all rows, and a row's bucket doesn't depend on how often or where it
+    is computed.
     """
-    spark = samples.sparkSession
-    order = [F.xxhash64(*id_cols, F.lit(seed)).alias("_o"), *[F.col(c) for c in id_cols]] if train else [F.col(c) for c in id_cols]
-    keyed = samples.withColumn("_key", F.struct(*order))
-    ranged = keyed.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33))
-    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
+    spark, n = samples.sparkSession, samples.count()
+    if train:
+        bits = min(20, max(1, (n // BUCKET).bit_length()))
+        keyed = samples.withColumn("_o", F.xxhash64(*id_cols, F.lit(seed)))
+        keyed = keyed.withColumn("_bucket", F.shiftright("_o", 64 - bits).cast("int"))  # of a hash: about equal shares, in the hash's order
+    else:
+        keyed = samples.withColumns({"_o": F.struct(*id_cols), "_bucket": F.lit(0)})
+        if bounds := _bounds(samples.select(*id_cols), id_cols, n):
+            kind = keyed.schema["_o"].dataType
+            known = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.fields, strict=True)]) for b in bounds])
+            keyed = keyed.withColumn("_bucket", F.size(F.filter(known, lambda b: b <= F.col("_o"))))
+    sizes = sorted((r["_bucket"], r["n"]) for r in keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per bucket
     before, rows = 0, []
-    for part, n in sizes:
-        rows.append((part, before))
-        before += n
-    shifts = spark.createDataFrame(rows, "_part bigint, _before bigint")
-    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    out = ranged.join(F.broadcast(shifts), "_part").withColumn("_place", place)
-    return out.withColumns({"batch": F.expr(f"_place div {size}"), "place": F.col("_place") % size}).drop("_key", "_id", "_part", "_before", "_place")
+    for k, size_of in sizes:
+        rows.append((k, before))
+        before += size_of
+    shifts = spark.createDataFrame(rows, "_bucket int, _before bigint")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_o", *id_cols)) - 1
+    out = keyed.join(F.broadcast(shifts), "_bucket").withColumn("_place", place)
+    return out.withColumns({"batch": F.expr(f"_place div {size}"), "place": F.col("_place") % size}).drop("_o", "_bucket", "_before", "_place")
+
+
+#: Rows of an order that one task numbers, about.
+BUCKET = 200_000
+
+
+def _bounds(ids: DataFrame, columns: list[str], n: int) -> list[tuple]:
+    """Rising bounds that cut n ids into about equal parts, 1024 at most, from a sample of some 16 ids for each."""
+    most = min(1024, n // BUCKET)
+    if not most:
+        return []
+    some = ids.where(F.pmod(F.xxhash64(*columns), F.lit(max(1, n // (16 * most)))) == 0)
+    rows = sorted({tuple(r) for r in some.collect() if None not in r})
+    return rows[:: max(1, len(rows) // (most + 1))][1 : most + 1]
 
 
 def ragged_pad(rows: DataFrame, batch: list[str], values: str) -> DataFrame:

@@ -167,3 +167,14 @@ def test_fuser_emits_before_samples_leave_full_buffers(hold, size):
     for at in range(0, len(rows), size):
         got += [tuple(r) for p in run((7,), iter([rows[at : at + size]]), state) for r in p.itertuples(index=False)]
     assert got == [(7, t, t, t) for t in range(5, 4991, 5)]
+
+
+@pytest.mark.parametrize("train", [True, False])
+def test_batches_number_every_row_once(spark, monkeypatch, train):
+    monkeypatch.setattr(episodes, "BUCKET", 5_000)
+    samples = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7919 % 200_003).alias("k"), F.lit("x").alias("v"))
+    out = episodes.shuffled_batches(samples, ["k"], 32, train=train, seed=3).withColumn("at", F.col("batch") * 32 + F.col("place")).cache()
+    facts = out.agg(F.count("*"), F.countDistinct("at"), F.min("at"), F.max("at"), F.countDistinct("k")).first()
+    assert tuple(facts) == (200_000, 200_000, 0, 199_999, 200_000)
+    rising = out.selectExpr("at", "k", "lag(k) over (partition by at div 20000 order by at) < k as ok").where("ok is not null")
+    assert rising.where("ok").count() == rising.count() if not train else 0.4 < rising.where("ok").count() / rising.count() < 0.6
