@@ -396,9 +396,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, renames: int = 0)
             narrow = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in own]
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, bounds)), pa.array(set_keys(sets, bounds, TWIN)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(narrow, pa.binary())], schema=shape)
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The number of near-duplicates has no bound, so these joins shuffle at every size; broadcasts for small tables alone would hide what
+    # large ones cost.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     # A doc_id may have rows of other classes as well; the last join drops those.
-    return renamed(texts.mapInArrow(run, schema), renames).join(wanted.drop("doc_id"), ["cls", "twin"]).drop("twin")
+    return renamed(texts.mapInArrow(run, schema), renames).join(wanted.drop("doc_id").hint("merge"), ["cls", "twin"]).drop("twin")
 
 
 def renamed(rows: DataFrame, times: int) -> DataFrame:
@@ -582,7 +584,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     pairs = _candidates(scratch, facts, nodes, threshold, leaf, levels)
     members = components(scratch, pairs, "families").select(F.col("id").alias("cls"), F.col("component").alias("node"))
     members = scratch.write(members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"), "members")
-    # Written first, so that its size is known when the join with the texts is planned: few of them don't ask for a shuffle of all texts.
     wanted = scratch.write(classes.select("cls", "twin", "doc_id", "n_shingles", "sig").join(members, "cls"), "wanted")
     sets = scratch.write(full_sets(docs, wanted, width, renames), "sets")
     if sets.count() > wanted.count():
