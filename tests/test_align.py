@@ -35,8 +35,8 @@ def test_linear_ends(spark):
 
 def test_against_numpy(spark):
     rng = np.random.default_rng(0)
-    t = np.array([0, 0.05, 0.1, 0.15, 0.2, 0.7, 0.8, 0.9, 0.95, 1])
-    x, tau = rng.normal(size=10), np.array([0, 0.12, 0.25, 0.35, 0.5, 0.75, 0.88, 1])
+    t = np.sort(rng.uniform(0, 3, 40))
+    x, tau = rng.normal(size=40), np.sort(np.concatenate([rng.uniform(-0.5, 3.5, 60), t[::7]]))
     assert values(align.resample(*frames(spark, x, t, tau), ["series_id"])) == pytest.approx(np.interp(tau, t, x).tolist())
 
 
