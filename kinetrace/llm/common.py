@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
+#: Rows that it handles at once at most, so that very short texts take no more memory than long ones.
+SLICE_ROWS = 1 << 14
 #: Edges for each task that writes labels of components.
 LABELS = 250_000
 
@@ -84,8 +86,8 @@ def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return plain.mapInArrow(inside, plain.schema).toDF(*names)
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts batches into slices of about ``most`` bytes in ``column``: the slice, its UTF-8 bytes, and n + 1 offsets. Null counts as empty."""
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cuts batches into slices of about ``most`` bytes in ``column`` and at most ``rows`` rows: the slice, its UTF-8 bytes, and n + 1 offsets. Null counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,7 +97,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None and col.buffers()[2].size else np.zeros(0, np.uint8)
         at = 0
         while at < len(col):
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
 

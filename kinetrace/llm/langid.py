@@ -9,7 +9,7 @@ that cosine is below ``MOST`` and far below what the sample showed at the text's
 The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows, spread evenly over languages and picked by a hash
 of their id. Of more than ``LANGUAGES`` values of lang the most frequent are learned. So its size doesn't depend on the corpus.
 Prediction is a map over whole texts. A text's counts are summed up in windows of ``WINDOW`` bytes, so a long text takes no more memory
-than its own bytes.
+than its own bytes; a row's counts take ``WIDTH`` numbers whatever its length, so a worker holds those of ``ROWS`` rows at most.
 
 Null text, or text without a letter: ``und``, score 0, rejected. A text with letters always gets a learned language, however far
 it lies. Without any labelled row nothing can be learned: all are ``und``, and only texts without letters are rejected. Ties go to the language first in order. Repeated rows
@@ -30,7 +30,7 @@ from .common import arrow, byte_slices, map_rows
 
 WIDTH, SAMPLE, CLUSTERS, SLACK, MOST = 4096, 4000, 6, 0.6, 0.3
 LANGUAGES = 1000
-UND, BLOCK, SLICE, WINDOW = "und", 128, 1 << 19, 1 << 20
+UND, BLOCK, SLICE, ROWS, WINDOW = "und", 128, 1 << 19, 256, 1 << 20
 
 
 def _folding() -> np.ndarray:
@@ -177,7 +177,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = shape
-        for part, data, offsets in byte_slices(batches, most=SLICE):
+        for part, data, offsets in byte_slices(batches, most=SLICE, rows=ROWS):
             rows = features(data, offsets)
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<u4").tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], schema=to)
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, m = shape, shipped.value
-        for part, data, offsets in byte_slices(batches, most=SLICE):
+        for part, data, offsets in byte_slices(batches, most=SLICE, rows=ROWS):
             n = part.num_rows
             letters = np.array([has_letter(t) for t in part.column("text").to_pylist()])
             names, score, rejected = np.array([UND] * n, object), np.zeros(n), ~letters
@@ -221,7 +221,7 @@ def kept(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for part, data, offsets in byte_slices(batches, most=SLICE):
+        for part, data, offsets in byte_slices(batches, most=SLICE, rows=ROWS):
             keep = np.array([has_letter(t) for t in part.column("text").to_pylist()])
             if m:
                 keep &= ~m.predict(features(data, offsets))[2]
