@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrace.llm import decontaminate, langid, urls, warc
-from kinetrace.llm.common import Folder, Scratch
+from kinetrace.llm.common import Folder, Scratch, byte_slices
 
 EN, DE = "the quick brown fox jumps over the lazy dog and then the cat", "der schnelle braune Fuchs springt über den faulen Hund und die Katze"
 
@@ -255,3 +256,16 @@ def test_decontamination_columns_of_any_name(spark):
     left = decontaminate.without(docs, items)
     assert left.columns == docs.columns
     assert [r["doc_id"] for r in left.collect()] == [2]
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    texts = ["", None, "a" * 50, *["b"] * 20, "c" * 30]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    for most, rows in ((10, 3), (1000, 7), (1000, 1), (1, 100)):
+        got, data = [], b""
+        for part, values, offsets in byte_slices(iter([batch, batch.slice(0, 0)]), most=most, rows=rows):
+            assert 0 < part.num_rows <= rows and len(offsets) == part.num_rows + 1
+            assert part.num_rows == 1 or len(values) <= most
+            got += part.column("text").to_pylist()
+            data += values.tobytes()
+        assert got == texts and data == "".join(t or "" for t in texts).encode()
