@@ -7,7 +7,8 @@ that cosine is below ``MOST`` and far below what the sample showed at the text's
 ``SLACK`` times the smallest.
 
 The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows, spread evenly over languages and picked by a hash
-of their id. Of more than ``LANGUAGES`` values of lang the most frequent are learned. So its size doesn't depend on the corpus.
+of their id. Of more than ``LANGUAGES`` values of lang the most frequent are learned. So its size doesn't depend on the corpus. The
+driver holds the sample's counts as they occur, and dense vectors of one language at a time.
 Prediction is a map over whole texts. A text's counts are summed up in windows of ``WINDOW`` bytes, so a long text takes no more memory
 than its own bytes; a row's counts take ``WIDTH`` numbers whatever its length, so a worker holds those of ``ROWS`` rows at most.
 
@@ -127,15 +128,39 @@ def buckets(counts: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts.sum(1), 1)).astype(np.int64), n - 1)
 
 
-def fit(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS) -> Model | None:
-    if not len(counts):
+class Sample:
+    """Counts of n-grams of a sample's rows, of which only those that occur are held. Rows are made dense as they are asked for."""
+
+    def __init__(self, places: list[bytes], counts: list[bytes]):
+        self.bounds = np.cumsum([0, *(len(p) // 2 for p in places)])
+        self.places, self.counts = np.frombuffer(b"".join(places), "<u2"), np.frombuffer(b"".join(counts), "<u4")
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), WIDTH), np.int64)
+        for row, i in zip(out, rows.tolist(), strict=True):
+            a, b = self.bounds[i], self.bounds[i + 1]
+            row[self.places[a:b]] = self.counts[a:b]
+        return out
+
+
+def fit(counts: np.ndarray | Sample, labels: list[str], clusters: int = CLUSTERS) -> Model | None:
+    """The model of rows of counts. Only one language's rows are held as dense vectors at a time."""
+    n = len(counts)
+    if not n:
         return None
     languages = tuple(sorted(set(labels)))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x, y = vectors(counts, idf), np.array([languages.index(v) for v in labels])
+    blocks = lambda rows: (rows[i : i + ROWS] for i in range(0, len(rows), ROWS))
+    idf = np.log((1 + n) / (1 + sum((counts[rows] > 0).sum(0) for rows in blocks(np.arange(n))))).astype(np.float32) + 1
+    y = np.array([languages.index(v) for v in labels])
     found, of = [], []
     for k in range(len(languages)):
-        z = x[y == k]
+        own = np.flatnonzero(y == k)
+        z = np.empty((len(own), WIDTH), np.float32)
+        for i, rows in enumerate(blocks(own)):
+            z[i * ROWS : i * ROWS + len(rows)] = vectors(counts[rows], idf)
         pick = [int((z @ z.mean(0)).argmax())]
         while len(pick) < min(clusters, len(z)):  # the next one lies farthest from those before
             pick.append(int((z @ z[pick].T).max(1).argmin()))
@@ -150,7 +175,10 @@ def fit(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS) -> Mode
         found.append(c)
         of += [k] * len(c)
     centroids, of = np.vstack(found), np.array(of)
-    score, b = (x @ centroids.T).max(1), buckets(counts, 24)
+    score, b = np.empty(n, np.float32), np.empty(n, np.int64)
+    for rows in blocks(np.arange(n)):
+        x = counts[rows]
+        score[rows], b[rows] = (vectors(x, idf) @ centroids.T).max(1), buckets(x, 24)
     limits, low = np.zeros(24), 0.0
     for j in range(24):  # longer texts come closer to centroids; a length without a sample takes the shorter one's limit
         low = max(low, SLACK * float(score[b == j].min())) if (b == j).sum() >= 20 else low
@@ -183,10 +211,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<u4").tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], schema=to)
 
     got = sorted(map(tuple, picked.select("lang", "text").mapInArrow(run, schema).collect()))  # bounded by ``sample``
-    counts = np.zeros((len(got), WIDTH), np.int64)
-    for row, (_, a, c) in zip(counts, got, strict=True):
-        row[np.frombuffer(bytes(a), "<u2")] = np.frombuffer(bytes(c), "<u4")
-    return fit(counts, [g[0] for g in got])
+    return fit(Sample([g[1] for g in got], [g[2] for g in got]), [g[0] for g in got])
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
