@@ -60,9 +60,8 @@ class Encoder:
         self.by_word &= bool(suffix)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.library.get_vocab_size()
-        # The same model for words that are already normalised and split.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
+        # The same model, which both share, for words that are already normalised and split.
+        self.bare = Tokenizer(self.library.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, int] = {}
         self.forget()
