@@ -23,13 +23,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table's files as a stream, whether it is a single file or a folder of them."""
+    # A pattern that fits this one name: a plain path has to be a folder here, and a filter by name would drop the files in a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def run(stream: DataFrame, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All that the stream gives until its source is used up, through a sink of files; in mode complete the last result."""
     spark, at = stream.sparkSession, folder(stream.sparkSession)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out")  # stays if there is no file at all, so no batch
     writer = stream.writeStream.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", f"{at}/state")
     if mode == "append":
         query = writer.format("parquet").option("path", f"{at}/out").start()
