@@ -1,16 +1,19 @@
-"""Best-fit packing of documents into sequences by sums of squares.
+"""Best-fit packing of documents into sequences, in order of falling length.
 
 A document is its token ids and an end id. Only longer ones than a sequence are cut, into full pieces and a last, shorter one.
-Full pieces are sequences of their own. The others are placed in order of falling length: a piece goes where the sum over gaps of
-the squared number of open bins with that gap becomes smallest; of equal ones the smallest gap is taken, and a bin is opened only
-for a piece that fits in none.
+Full pieces are sequences of their own. The others are placed in order of falling length, each into the open bin with the smallest
+gap that it fits in; a bin is opened only for a piece that fits in none.
 
 Where a piece may go depends on its length alone, so it is the histogram of lengths that is packed: at most ``capacity`` numbers
-reach the driver, whatever the corpus. Up to ``ITEMS`` pieces are placed one by one. Of more, equal ones are placed ``w`` at a time
-into ``w`` equal bins, for a w that leaves about ITEMS steps; what a length has left over is placed in the same open bins by a
-sixteenth of w, and so on down to single pieces. So steps grow with the logarithm of the corpus and every piece gets its place.
-Pieces then look up their places by length and by their running number among the pieces of that length, which each task counts on
-its own; the numbers of tasks before it are summed up per task and length.
+reach the driver, whatever the corpus. A piece that leaves a gap of its own length or more makes that gap the smallest that its
+equals fit in, so they fill one bin after the other, and all bins of a gap at once: see :func:`best_fit`. Places are those of single
+pieces at every size, in a number of steps that the capacity bounds. Pieces then look up their places by length and by their running
+number among the pieces of that length, which each task counts on its own; the numbers of tasks before it are summed up per task and length.
+
+:func:`plan` is another rule, for callers who give :func:`pack` a number of steps: a piece goes where the sum over gaps of the squared
+number of open bins with that gap becomes smallest; of equal ones the smallest gap is taken. More pieces than steps are placed several
+at a time: ``w`` equal ones into ``w`` equal bins, for a w that leaves about as many steps; what a length has left over is placed in
+the same open bins by a sixteenth of w, and so on down to single pieces. So its places depend on how many pieces there are.
 
 Null text counts as empty and becomes one piece of the end id alone. Repeated ids, null ids and repeated texts are pieces of their
 own. Extra columns don't matter, whatever their names. An empty table gives an empty result. A text of any length is encoded whole, in
@@ -30,25 +33,27 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, byte_slices
 from .tokens import crc32, encoder, vocabulary
 
-#: Steps on the driver among which pieces are placed, about; and the factor from one size of step to the next.
+#: Steps of :func:`plan` among which pieces are placed, about; and the factor from one size of step to the next.
 ITEMS, FINER = 1 << 16, 16
 
 
 @dataclass(frozen=True)
 class Plan:
     """Places of the pieces of each length, in order of ``key``: length and first running number, from which ``copies`` pieces go into
-    as many bins in a row, at ``offset``."""
+    bins in a row, ``each`` in a bin, from ``offset`` on."""
 
     key: np.ndarray
     copies: np.ndarray
     bin: np.ndarray
     offset: np.ndarray
+    each: np.ndarray
     n_bins: int
 
     def look_up(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bin and offset of each piece, given its length and running number."""
         at = np.searchsorted(self.key, (length << 48) + number, side="right") - 1
-        return self.bin[at] + number - (self.key[at] & ((1 << 48) - 1)), self.offset[at]
+        nth = number - (self.key[at] & ((1 << 48) - 1))
+        return self.bin[at] + nth // self.each[at], self.offset[at] + nth % self.each[at] * length
 
 
 class Bins:
@@ -103,10 +108,55 @@ def plan(counts: np.ndarray, items: int = ITEMS) -> Plan:
         finer = max(1, w // FINER)
         bins.resize(w // finer)
         w = finer
-    got = np.array(steps, np.int64).reshape(-1, 5)
+    return _planned([(*step, 1) for step in steps], bins.n)
+
+
+def _planned(steps: list[tuple[int, ...]], n_bins: int) -> Plan:
+    """The plan of steps (length, first running number, copies, bin, offset, each)."""
+    got = np.array(steps, np.int64).reshape(-1, 6)
     key = (got[:, 0] << 48) + got[:, 1]
     order = np.argsort(key, kind="stable")
-    return Plan(key[order], *(got[order, k] for k in (2, 3, 4)), bins.n)
+    return Plan(key[order], *(got[order, k] for k in (2, 3, 4, 5)), n_bins)
+
+
+def best_fit(counts: np.ndarray) -> Plan:
+    """Packs ``counts[s]`` pieces of each length s below the capacity, which is the last place of ``counts``, as if one by one.
+
+    A step fills a run of bins with one gap, so afterwards the gap is smaller than the length. A length adds three runs at most, and
+    each filling of a run halves its gap at least; so there are some 3 * capacity * log2(capacity) steps at most, of however many pieces.
+    """
+    capacity, n = len(counts) - 1, 0
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by gap: first bin, how many in a row
+    held, steps = np.zeros(capacity + 1, bool), []
+
+    def leave(gap: int, first: int, many: int) -> None:
+        if gap and many:
+            runs[gap].append((first, many))
+            held[gap] = True
+
+    for s in np.flatnonzero(counts[:capacity])[::-1].tolist():
+        used, left = 0, int(counts[s])
+        while left:
+            g = int(held[s:].argmax()) + s
+            if held[g]:
+                first, many = runs[g].pop()
+                held[g] = bool(runs[g])
+            else:
+                g, first, many = capacity, n, -(-left // (capacity // s))
+                n += many
+            each = g // s
+            full, rest = min(many, left // each), 0
+            if full < many and left > full * each:
+                rest = left - full * each  # what the last bin gets
+            placed = full * each + rest
+            steps.append((s, used, placed, first, capacity - g, each))
+            leave(g - each * s, first, full)
+            if rest:
+                leave(g - rest * s, first + full, 1)
+            leave(g, first + full + bool(rest), many - full - bool(rest))
+            used += placed
+            left -= placed
+    return _planned(steps, n)
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -156,15 +206,15 @@ def numbered(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, schema)
 
 
-def pack(scratch: Scratch, items: DataFrame, capacity: int = 4096, steps: int = ITEMS) -> DataFrame:
-    """``items`` (as of :func:`pieces`) with sequence_id and offset."""
+def pack(scratch: Scratch, items: DataFrame, capacity: int = 4096, steps: int | None = None) -> DataFrame:
+    """``items`` (as of :func:`pieces`) with sequence_id and offset, by :func:`best_fit`; or by :func:`plan` in about so many steps."""
     columns = items.columns
     items = scratch.write(numbered(items), "pieces")
     sizes = scratch.write(items.groupBy("task", "length").agg((F.max("nth") + 1).alias("n")), "sizes")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in sizes.groupBy("length").agg(F.sum("n")).collect():  # one row per length, capacity at most
         counts[length] = n
-    shipped = scratch.spark.sparkContext.broadcast(plan(counts, steps))  # steps, and FINER times capacity for each further size of step, at most
+    shipped = scratch.spark.sparkContext.broadcast(best_fit(counts) if steps is None else plan(counts, steps))  # a row per step, see there
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     # Names of their own: ``items`` may hold any.
     shifts = sizes.select(F.col("task").alias("of_task"), F.col("length").alias("of_length"), before.alias("before"))

@@ -174,6 +174,51 @@ def test_sum_of_squares_by_brute_force():
         assert sorted(20 - filled) == sorted(gaps)
 
 
+def one_by_one(counts):
+    """Open bins by gap after best fit of single pieces in order of falling length."""
+    capacity = len(counts) - 1
+    gaps = [0] * (capacity + 1)
+    for s in range(capacity - 1, 0, -1):
+        for _ in range(int(counts[s])):
+            g = next((g for g in range(s, capacity) if gaps[g]), capacity)
+            gaps[g] -= g < capacity
+            gaps[g - s] += 1
+    return gaps
+
+
+def test_best_fit_by_brute_force():
+    r = np.random.default_rng(5)
+    for n, top in ((0, 20), (1, 20), (60, 20), (500, 5), (3000, 20)):
+        counts = np.bincount(r.integers(1, top, n), minlength=21)
+        got = packing.best_fit(counts)
+        length = np.repeat(np.arange(20), counts[:20])
+        number = np.concatenate([np.arange(c) for c in counts[:20]]).astype(np.int64)
+        at, offset = got.look_up(length, number) if n else (length, number)
+        filled = np.bincount(at, weights=length, minlength=got.n_bins).astype(int)
+        assert np.bincount(20 - filled, minlength=21).tolist() == one_by_one(counts)
+        order = np.lexsort((offset, at))
+        ends = (offset + length)[order]
+        assert (np.where(np.diff(at[order], prepend=-1) > 0, 0, np.roll(ends, 1)) == offset[order]).all()
+        assert got.copies.sum() == n
+
+
+def test_places_do_not_depend_on_the_number_of_pieces(spark):
+    n = packing.ITEMS + 5000
+    out = packing.pack(Scratch(spark, "t"), items_of(spark, n, F.col("id") * F.col("id") % 29 + 1), 31)
+    counts = np.bincount([i * i % 29 + 1 for i in range(n)], minlength=32)
+    want = one_by_one(counts)
+    got = {r["gap"]: r["count"] for r in out.groupBy("sequence_id").agg((31 - F.sum("length")).alias("gap")).groupBy("gap").count().collect()}
+    assert got == {g: k for g, k in enumerate(want) if k}
+
+
+def test_best_fit_of_a_huge_corpus():
+    counts = np.bincount(np.minimum(np.random.default_rng(1).lognormal(6.5, 1.2, 100_000).astype(int) + 1, 4096), minlength=4097) * 100_003
+    got = packing.best_fit(counts)
+    assert len(got.key) < 100_000
+    assert got.copies.sum() == counts[:-1].sum()
+    assert got.n_bins <= (counts[:-1] * np.arange(4096)).sum() / 4096 * 1.0001 + 1
+
+
 def test_packing_of_no_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, None)], "doc_id bigint, text string").withColumns({"task": F.lit("x"), "nth": F.lit(1), "length": F.lit("z"), "a.b": F.lit(0)})
     out = packing.packed_documents(docs)
