@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, byte_slices, map_rows
+from .common import arrow, byte_slices, map_rows, released
 
 WIDTH, SAMPLE, CLUSTERS, SLACK, MOST = 4096, 4000, 6, 0.6, 0.3
 LANGUAGES = 1000
@@ -210,7 +210,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<u4").tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())], schema=to)
 
-    got = sorted(map(tuple, picked.select("lang", "text").mapInArrow(run, schema).collect()))  # bounded by ``sample``
+    got = sorted(map(tuple, picked.select("lang", "text").mapInArrow(released(run), schema).collect()))  # bounded by ``sample``
     return fit(Sample([g[1] for g in got], [g[2] for g in got]), [g[0] for g in got])
 
 
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 score, rejected = np.where(letters, s, 0.0), r | ~letters
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], schema=to)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(released(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

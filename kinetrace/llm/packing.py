@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow, byte_slices
+from .common import Scratch, arrow, byte_slices, released
 from .tokens import crc32, encoder, vocabulary
 
 #: Steps of :func:`plan` among which pieces are placed, about; and the factor from one size of step to the next.
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | N
             crc = np.fromiter((crc32(ids[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
             yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(b - a), pa.array(crc)], schema=to)
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), "text").mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), "text").mapInArrow(released(run), schema)
 
 
 def numbered(items: DataFrame) -> DataFrame:

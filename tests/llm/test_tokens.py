@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm import huffman, packing
+from kinetrace.llm import common, huffman, packing
 from kinetrace.llm.common import Folder, Scratch
 from kinetrace.llm.tokens import crc32, encoder, vocabulary
 
@@ -174,6 +174,16 @@ def test_sum_of_squares_by_brute_force():
         assert sorted(20 - filled) == sorted(gaps)
 
 
+def test_workers_release_memory_at_the_end_of_a_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(1))
+    assert list(common.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    half = common.released(lambda batches: batches)(x for x in (1, 2))
+    assert next(half) == 1 and done == [1]
+    half.close()
+    assert done == [1, 1]
+
+
 def one_by_one(counts):
     """Open bins by gap after best fit of single pieces in order of falling length."""
     capacity = len(counts) - 1
